@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules
+from . import chat_format, gru_lm, line_dedup, mixing, quality_rules, sentencepiece_sampling, simhash
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -63,6 +71,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.col("__removed").alias("n_removed"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.repetitions(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "source", "repeats")
@@ -83,5 +101,5 @@ f AS (SELECT *, (floor(rate) + floor(i * (rate - floor(rate)) + 0.5::DOUBLE) - f
 SELECT doc_id, size, source_size, target, repeats * size AS taken, source, repeats FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_gru_lm, op3_quality_rules, op5_chat_format, op8_simhash, op9_line_dedup, op10_mixing)}
 ORACLES = {"op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}
