@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, gru_lm, line_dedup, mixing, quality_rules, sentencepiece_sampling, simhash
+from . import chat_format, gru_lm, license_scan, line_dedup, mixing, page_text, quality_rules, sentencepiece_sampling, simhash, telephony
 from .common import table
 
 
@@ -46,6 +46,11 @@ FROM b
 """
 
 
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = telephony.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return telephony.expand(stored, pcm=False)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -71,6 +76,20 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    known = F.array_remove(F.transform("found", lambda x: x["family"]), "unknown")
+    return got.select(
+        "doc_id", "n_paragraphs", "n_scanned", F.array_join(F.array_sort(F.array_distinct(known)), ",").alias("families"),
+        F.size(known).cast("long").alias("n_licensed"), (F.size("found") - F.size(known)).cast("long").alias("n_unknown"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -101,5 +120,8 @@ f AS (SELECT *, (floor(rate) + floor(i * (rate - floor(rate)) + 0.5::DOUBLE) - f
 SELECT doc_id, size, source_size, target, repeats * size AS taken, source, repeats FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_gru_lm, op3_quality_rules, op5_chat_format, op8_simhash, op9_line_dedup, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_gru_lm, op3_quality_rules, op4_telephony, op5_chat_format, op6_page_text, op7_license_scan, op8_simhash, op9_line_dedup, op10_mixing)
+}
 ORACLES = {"op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_mixing": OP10_SQL}
