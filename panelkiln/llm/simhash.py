@@ -89,7 +89,9 @@ def postings(fps: DataFrame) -> DataFrame:
     """The index's lists with more than one member: choice, key, members."""
     agree = [_signed(~((255 << 8 * i) | (255 << 8 * j)) & (2**64 - 1)) for i, j in _VARYING]
     keys = F.array(*[F.struct(F.lit(c).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(agree)])
-    posted = fps.select("fp", F.inline(keys))
+    # the fingerprints are few bytes, their 28 postings are not: deal them out before they are made
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = fps.repartition(parts, "fp").select("fp", F.inline(keys))
     return posted.groupBy("choice", "key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
 
 
