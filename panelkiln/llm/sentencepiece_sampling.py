@@ -77,12 +77,21 @@ class Pieces:
                 continue
             h = np.zeros(len(at), np.uint64)
             for j in range(n):
-                h = h * _P + cps[at, j].astype(np.uint64) + np.uint64(1)
+                h = _longer(h, cps[at, j].astype(np.uint64) + np.uint64(1), j)
             order = np.argsort(h)
             at, h = at[order], h[order]
-            seen = np.zeros(1 << _BITS, bool)
-            seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.by_len[n] = (seen, h, np.array(ids, np.int64)[at], cps[at, :n], np.array(logs)[at])
+            slot = np.full(1 << _BITS, -1, np.int32)
+            slot[_slot(h)] = np.arange(len(at), dtype=np.int32)
+            self.by_len[n] = (slot, h, np.array(ids, np.int64)[at], cps[at, :n], np.array(logs)[at])
+
+
+def _longer(h: np.ndarray, c: np.ndarray, before: int) -> np.ndarray:
+    """A substring's number with one more character (its code point plus 1). Up to three characters it is exact, then a hash."""
+    return (h << np.uint64(21)) + c if before < 3 else h * _P + c
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * _P) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
 @lru_cache(2)
@@ -109,24 +118,28 @@ class Lattice:
         state = np.arange(len(cp)) + unit
         self.start, self.end = first + np.arange(len(units)), first + np.arange(len(units)) + n
         src, dst, at, item, score = [], [], [], [], []
-        h = np.zeros(len(cp), np.uint64)
         covered = np.zeros(len(cp), bool)
         wide = cp.astype(np.uint64) + np.uint64(1)
-        alive = np.arange(len(cp))
-        for k in range(1, p.max_len + 1):
-            alive = alive[left[alive] >= k]
-            if not len(alive):
-                break
-            h[alive] = h[alive] * _P + wide[alive + k - 1]
+        h = np.zeros(len(cp), np.uint64)
+        longest = int(n.max()) if len(n) else 0
+        for k in range(1, min(p.max_len, longest) + 1):
+            h = _longer(h[: len(cp) - k + 1], wide[k - 1 :], k - 1)  # of the k characters from each place on
             if k not in p.by_len:
                 continue
-            seen, hashes, ids, cps, logs = p.by_len[k]
-            here = alive[seen[(h[alive] >> np.uint64(64 - _BITS)).astype(np.int64)]]
-            found = np.minimum(np.searchsorted(hashes, h[here]), len(hashes) - 1)
-            ok = hashes[found] == h[here]
-            here, found = here[ok], found[ok]
-            ok = (cp[here[:, None] + np.arange(k)] == cps[found]).all(axis=1)
-            here, found = here[ok], found[ok]
+            slot, hashes, ids, cps, logs = p.by_len[k]
+            found = slot[_slot(h)]
+            here = np.nonzero((found >= 0) & (left[: len(h)] >= k))[0]
+            found, own = found[here], h[here]
+            ok = hashes[found] == own
+            if not ok.all():  # another piece may hide behind the one in the slot
+                no = np.nonzero(~ok)[0]
+                other = np.minimum(np.searchsorted(hashes, own[no]), len(hashes) - 1)
+                found[no] = other
+                ok[no] = hashes[other] == own[no]
+                here, found = here[ok], found[ok]
+            if k > 3:
+                ok = (cp[here[:, None] + np.arange(k)] == cps[found]).all(axis=1)
+                here, found = here[ok], found[ok]
             if k == 1:
                 covered[here] = True
             src.append(state[here]), dst.append(state[here] + k), at.append(offset[here] + k), item.append(ids[found]), score.append(logs[found])
@@ -134,7 +147,7 @@ class Lattice:
         size = 1 + (cp[bare] >= 0x80) + (cp[bare] >= 0x800) + (cp[bare] >= 0x10000)
         src.append(state[bare]), dst.append(state[bare] + 1), at.append(offset[bare] + 1), item.append(-1 - cp[bare].astype(np.int64)), score.append(size * p.fallback)
         src, dst, at, item, score = (np.concatenate(x) for x in (src, dst, at, item, score))
-        order = np.lexsort((dst, at))
+        order = np.argsort(at * np.int64(len(cp) + len(units) + 1) + dst)
         src, dst, at, item, score = (x[order] for x in (src, dst, at, item, score))
         new = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -156,10 +169,10 @@ class Lattice:
             p_edge[a:b] = np.exp(v - total[g])
         run = np.cumsum(p_edge)
         before = np.concatenate([[0.0], run])[heads] if len(heads) else run
-        key = group + np.minimum(run - before[group], 1.0)
+        upto = np.minimum(run - before[group], 1.0)
         tails = np.concatenate([heads[1:], [len(dst)]]) - 1 if len(heads) else heads
-        key[tails] = np.arange(len(heads)) + 1.0
-        self.key, self.src, self.item = key, src, item
+        upto[tails] = 1.0
+        self.upto, self.heads, self.src, self.item = upto, heads, src, item
         self.group = np.full(len(alpha), -1, np.int64)
         self.group[dst[heads]] = np.arange(len(heads))
         self.log_z = alpha
@@ -172,7 +185,11 @@ class Lattice:
         k = 0
         while len(who):
             u = (_mix(seed[who] + np.uint64(k * int(_P) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(self.key, self.group[cur] + u, side="right")
+            e = self.heads[self.group[cur]]
+            on = np.nonzero(self.upto[e] <= u)[0]
+            while len(on):  # the edge whose share of [0, 1) holds u
+                e[on] += 1
+                on = on[self.upto[e[on]] <= u[on]]
             steps.append((who, self.item[e]))
             length[who] += 1
             cur = self.src[e]
