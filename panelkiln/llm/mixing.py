@@ -83,6 +83,6 @@ def _join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 def mix(docs: DataFrame, **of) -> DataFrame:
     """The mixed table: every row as often as it is taken, with the columns it came with."""
-    taken = repetitions(docs, **of).where("repeats > 0").select("__row", "repeats")
+    taken = repetitions(docs, **of).where("repeats > 0").select("__row", F.col("repeats").cast("int").alias("__repeats"))
     out = docs.withColumn("__row", row_key()).join(taken, "__row")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
