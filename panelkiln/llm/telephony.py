@@ -140,30 +140,38 @@ def _loud(x: np.ndarray) -> int:
 def _expand(pcm: bool):
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    def read(keys: pa.Array, sizes: pa.Array, media: pa.Array) -> pa.RecordBatch:
+        files = [x.as_py() for x in media]
+        data = [samples_of(f) for f in files]
+        n_blocks = np.array([len(x) // BLOCK for x in data])
+        power = np.square(decode_adpcm(np.frombuffer(b"".join(data), np.uint8).reshape(-1, BLOCK)), dtype=np.float32).sum(axis=1, dtype=np.float64)
+        power = np.add.reduceat(power, np.cumsum(n_blocks) - n_blocks)
+        features, sounds = [], []
+        for x, n, e in zip(data, n_blocks, power, strict=True):
+            code = np.frombuffer(x, np.uint8)
+            heard = MU[code]
+            sound = resampled(heard).tobytes()
+            turns = int(np.count_nonzero((heard[1:] < 0) != (heard[:-1] < 0)))
+            features.append(f"mu={_loud(heard)};turns={turns};a={_loud(A[code])};adpcm={round(float(np.sqrt(e / (65 * n))))};pcm16k={zlib.crc32(sound):08x}")
+            if pcm:
+                sounds.append(wave_file(sound, 1, 2 * RATE, 16))
+        columns = [
+            keys, sizes, pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]),
+            pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(features),
+        ]
+        if pcm:
+            columns.append(pa.array(sounds, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names + ["pcm"] * pcm)
+
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            files = [x.as_py() for x in b.column(2)]
-            data = [samples_of(f) for f in files]
-            sizes = np.array([len(x) // BLOCK for x in data])
-            blocks = np.frombuffer(b"".join(data), np.uint8).reshape(-1, BLOCK)
-            power = np.square(decode_adpcm(blocks), dtype=np.float64).sum(axis=1)
-            power = np.add.reduceat(power, np.cumsum(sizes) - sizes) if len(data) else power
-            features, sounds = [], []
-            for x, n, e in zip(data, sizes, power, strict=True):
-                code = np.frombuffer(x, np.uint8)
-                heard = MU[code]
-                sound = resampled(heard).tobytes()
-                turns = int(np.count_nonzero((heard[1:] < 0) != (heard[:-1] < 0)))
-                features.append(f"mu={_loud(heard)};turns={turns};a={_loud(A[code])};adpcm={round(float(np.sqrt(e / (65 * n))))};pcm16k={zlib.crc32(sound):08x}")
-                if pcm:
-                    sounds.append(wave_file(sound, 1, 2 * RATE, 16))
-            columns = [
-                b.column(0), b.column(1), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]),
-                pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(features),
-            ]
-            if pcm:
-                columns.append(pa.array(sounds, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names + ["pcm"] * pcm)
+            first = held = 0
+            for i, x in enumerate(b.column(2)):
+                held += x.as_buffer().size
+                if held > CHUNK or i + 1 == b.num_rows:
+                    part = b.slice(first, i + 1 - first)
+                    yield read(*part.columns)
+                    first, held = i + 1, 0
 
     return go
 
