@@ -80,8 +80,13 @@ def score(rows: DataFrame, value: str, label: str, by: Sequence[str] = (), bins:
     rows, keys, alone = _keyed(rows.where(F.col(label).isNotNull()), by)
     hit = (F.col(label) != 0).cast("double")
     as_number = rows.withColumn("__v", F.col(value).cast("double"))
-    table = value_table(as_number, "__v", keys, pos=hit, neg=1 - hit, n=F.lit(1.0))
-    ranked = running(table, keys, ["pos", "neg", "n"])
+    out = score_table(value_table(as_number, "__v", keys, pos=hit, neg=1 - hit), keys, bins)
+    return out.drop("__all") if alone else out
+
+
+def score_table(table: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
+    """score of a table of different values: keys..., v, pos, neg."""
+    ranked = running(table.withColumn("n", F.col("pos") + F.col("neg")).where("n > 0"), keys, ["pos", "neg", "n"])
     edges = quantiles(ranked, keys, "n", bins)
     two = ranked.groupBy(*keys).agg(F.min("v").alias("lowest"), F.max("v").alias("highest"), F.max(F.when(~F.col("v").isin(0.0, 1.0), 1).otherwise(0)).alias("other"))
     binned = ranked.join(edges.join(two, keys), keys).withColumn("bin", F.when(F.col("other") == 0, F.col("v").cast("int")).otherwise(bin_of(F.col("v"), F.col("edges"))))
@@ -96,8 +101,7 @@ def score(rows: DataFrame, value: str, label: str, by: Sequence[str] = (), bins:
         F.coalesce(F.try_divide(2 * F.sum(wins), F.max("pos_all") * F.max("neg_all")) - 1, F.lit(0.0)).alias("gini"),
         F.when(F.max(F.when(~F.col("v").isin(0.0, 1.0), 1).otherwise(0)) == 0, F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("trigger"),
     )
-    out = rest.join(iv, keys)
-    return out.drop("__all") if alone else out
+    return rest.join(iv, keys)
 
 
 def divergence(rows: DataFrame, value: str, side: str, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
@@ -108,7 +112,13 @@ def divergence(rows: DataFrame, value: str, side: str, by: Sequence[str] = (), b
     """
     rows, keys, alone = _keyed(rows, by)
     expected = (F.col(side) == "expected").cast("double")
-    ranked = running(value_table(rows, value, keys, e=expected, a=1 - expected), keys, ["e", "a"])
+    out = divergence_table(value_table(rows, value, keys, e=expected, a=1 - expected), keys, bins)
+    return out.drop("__all") if alone else out
+
+
+def divergence_table(table: DataFrame, keys: Sequence[str], bins: int = BINS) -> DataFrame:
+    """divergence of a table of different values: keys..., v, e (expected), a (actual)."""
+    ranked = running(table, keys, ["e", "a"])
     edges = quantiles(ranked, keys, "e", bins)
     sums = ranked.groupBy(*keys).agg(F.sum("e").alias("ne"), F.sum("a").alias("na"))
     binned = ranked.join(edges, keys).where((F.col("v") >= F.element_at("edges", 1)) & (F.col("v") <= F.element_at("edges", -1)))
@@ -124,10 +134,9 @@ def divergence(rows: DataFrame, value: str, side: str, by: Sequence[str] = (), b
     few = F.size("edges") < 3
     got = got.select(*keys, F.when(few, 0.0).otherwise(psi).alias("psi"), F.when(few, 0.0).otherwise(kl).alias("kl"))
     empty = (F.col("ne") == 0) | (F.col("na") == 0)
-    out = sums.join(got, keys, "left").select(
+    return sums.join(got, keys, "left").select(
         *keys, *[F.when(empty, float("nan")).otherwise(F.col(c)).alias(c) for c in ("psi", "kl")], F.col("ne").cast("long").alias("n_expected"), F.col("na").cast("long").alias("n_actual")
     )
-    return out.drop("__all") if alone else out
 
 
 def wasserstein(rows: DataFrame, value: str, side: str, by: Sequence[str] = ()) -> DataFrame:
@@ -173,7 +182,13 @@ def monotonicity(rows: DataFrame, value: str, label: str, by: Sequence[str] = ()
     """How steadily the event rate moves with the value: for a 0/1 value the distance of both rates, else |rank correlation| of bin number and event rate, 0 unless 5 bins are occupied."""
     rows, keys, alone = _keyed(rows.where(F.col(label).isNotNull()), by)
     hit = (F.col(label) != 0).cast("double")
-    ranked = running(value_table(rows.withColumn("__v", F.col(value).cast("double")), "__v", keys, pos=hit, n=F.lit(1.0)), keys, ["pos", "n"])
+    out = monotonicity_table(value_table(rows.withColumn("__v", F.col(value).cast("double")), "__v", keys, pos=hit, n=F.lit(1.0)), keys, bins)
+    return out.drop("__all") if alone else out
+
+
+def monotonicity_table(table: DataFrame, keys: Sequence[str], bins: int = 5) -> DataFrame:
+    """monotonicity of a table of different values: keys..., v, pos, n."""
+    ranked = running(table.where("n > 0"), keys, ["pos", "n"])
     other = ranked.groupBy(*keys).agg(F.max(F.when(~F.col("v").isin(0.0, 1.0), 1).otherwise(0)).alias("other"))
     binned = ranked.join(quantiles(ranked, keys, "n", bins).join(other, keys), keys)
     binned = binned.withColumn("bin", F.when(F.col("other") == 0, F.col("v").cast("int")).otherwise(bin_of(F.col("v"), F.col("edges"))))
@@ -183,5 +198,4 @@ def monotonicity(rows: DataFrame, value: str, label: str, by: Sequence[str] = ()
     two = F.max(F.when(F.col("bin") == 1, F.col("rate"))) - F.max(F.when(F.col("bin") == 0, F.col("rate")))
     flat = (F.stddev_pop("rr") == 0) | (F.count(F.lit(1)) < 5)
     rho = F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop("rb", "rr"), F.stddev_pop("rb") * F.stddev_pop("rr")))
-    out = rates.groupBy(*keys).agg(F.when(F.max("other") == 0, F.coalesce(F.abs(two), F.lit(0.0))).otherwise(F.abs(rho)).alias("monotonicity"))
-    return out.drop("__all") if alone else out
+    return rates.groupBy(*keys).agg(F.when(F.max("other") == 0, F.coalesce(F.abs(two), F.lit(0.0))).otherwise(F.abs(rho)).alias("monotonicity"))

@@ -6,12 +6,16 @@ decimals, so that the order of summation shows nowhere).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelkiln.analysis import frontier
 from panelkiln.functions import splits, stats
+from panelkiln.knowledge import corpus, retriever
 from panelkiln.operators import Frame
+from panelkiln.plans import tree
 from panelkiln.plans.compiler import evaluate, evaluate_wide
+from panelkiln.search import fitness
 from panelkiln.sources import labels, panel
 from panelkiln.sources.registry import Metric, Registry
 
@@ -260,8 +264,70 @@ b AS (SELECT industry, len(list_filter(e[2:len(e) - 1], lambda x: x <= M1)) AS b
 k AS (SELECT industry, rank() OVER (PARTITION BY industry ORDER BY bin) AS a, rank() OVER (PARTITION BY industry ORDER BY rate) + (count(*) OVER (PARTITION BY industry, rate) - 1) / 2 AS b FROM b)
 SELECT industry, CASE WHEN count(*) < 5 OR stddev_pop(b) = 0 THEN 0 ELSE round(abs(corr(a, b)), 6) END AS monotonicity FROM k GROUP BY industry"""
 
+def skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that none beats in revenue, in few returns and in tax at once."""
+    w = wide_panel(spark, sf_dir).groupBy("entity_id").agg(F.sum("M1").alias("a"), (-F.sum("M5")).alias("b"), F.sum("M6").alias("c"))
+    rows = w.select("entity_id", F.array(F.round("a", 2), "b", F.round("c", 2)).alias("fitness"))
+    front = frontier.skyline(rows)
+    return front.select("entity_id", *[F.element_at("fitness", k + 1).alias(c) for k, c in enumerate("abc")])
+
+
+SKYLINE_SQL = f"""WITH {_WIDE}, s AS (SELECT entity_id, round(sum(M1), 2) AS a, -sum(M5) AS b, round(sum(M6), 2) AS c FROM w GROUP BY entity_id)
+SELECT * FROM s WHERE NOT EXISTS (FROM s o WHERE o.a >= s.a AND o.b >= s.b AND o.c >= s.c AND (o.a > s.a OR o.b > s.b OR o.c > s.c))"""
+
+
+def md_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", corpus.plain(F.col("text")).alias("text"))
+
+
+_MD = "coalesce(text, '')"
+for _pattern, _stays in corpus.REWRITES:
+    _MD = f"regexp_replace({_MD}, '{_pattern}', '{_stays.replace('$', chr(92))}', 'g')"
+MD_SQL = f"SELECT doc_id, trim({_MD}) AS text FROM documents"
+
+
+def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as Markdown whose lines with an odd number of letters up to the first space are headings."""
+    docs = _table(spark, sf_dir, "documents")
+    marked = F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "# $1\\n")
+    return corpus.to_chunks(docs.select("doc_id", F.col("lang").alias("industry"), marked.alias("text"))).select("chunk_id", "industry", F.array_join("headings", "/").alias("headings"), "text")
+
+
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents nearest to each benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("industry"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retriever.Retriever(docs).query(items, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+TFIDF_SQL = """WITH d AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+w AS (SELECT kind, id, ' ' || unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) || ' ' AS w FROM d),
+c AS (SELECT kind, id, w, count(*) AS m FROM w GROUP BY ALL),
+g AS (SELECT kind, id, m, unnest(list_transform(range(1, length(w) - n + 2), lambda i: substring(w, i, n))) AS gram FROM c, (VALUES (2), (3), (4)) AS t(n) WHERE length(w) >= n),
+f AS (SELECT kind, id, gram, sum(m)::BIGINT AS tf FROM g GROUP BY ALL),
+i AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM f WHERE kind = 'd' GROUP BY gram),
+x AS (SELECT kind, id, gram, tf * idf AS w FROM f JOIN i USING (gram)),
+v AS (SELECT kind, id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS w FROM x),
+s AS (SELECT q.id AS query_id, d.id AS chunk_id, round(sum(q.w * d.w), 9) AS score FROM v q JOIN v d ON q.gram = d.gram AND q.kind = 'q' AND d.kind = 'd' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3"""
+
+
+def gp_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six objectives of some candidate rules, evaluated in one batch."""
+    rules = ["(GT (PctChange returns 1) 0.3)", "(LT (ZScore price 6) -0.5)", "(AND (GT (PeerRank price) 0.5) (GT returns 1))", "(GT (TsRank returns 6) 0.9)"]
+    w = wide_panel(spark, sf_dir)
+    nxt = F.lead("M5").over(Window.partitionBy("entity_id").orderBy("observation_date"))
+    f = fitness.Fitness(w.withColumn("label", (nxt > 2).cast("int")).where("label IS NOT NULL"), METRICS)
+    try:
+        got = f.of([tree.parse(r) for r in rules])
+    finally:
+        f.close()
+    return spark.createDataFrame([(r, *map(float, x)) for r, x in zip(rules, got, strict=True)], "rule string, " + ", ".join(f"{o} double" for o in fitness.OBJECTIVES))
+
+
 QUERIES = {name: _expression(text, digits) for name, (text, _, digits) in EXPRESSIONS.items()}
-QUERIES |= {f.__name__: f for f in (panel_pivot, panel_duplicates, expression_long, labels_range_join, label_join, time_split, lag_features, score, score_by_language, psi_kl, wasserstein, spearman, monotonicity)}
+QUERIES |= {f.__name__: f for f in (panel_pivot, panel_duplicates, expression_long, labels_range_join, label_join, time_split, lag_features, score, score_by_language, psi_kl, wasserstein, spearman, monotonicity, skyline, md_strip, chunk, tfidf_topk, gp_fitness)}
 ORACLES = {name: _expression_sql(sql, digits) for name, (_, sql, digits) in EXPRESSIONS.items() if sql}
 ORACLES |= {
     "nested_windows": f"WITH {_WIDE}, d AS (SELECT *, M1 - {_lag('M1', 1)} AS x FROM w) SELECT entity_id, observation_date, industry, round(avg(x) OVER {_trail(3)}, 4) AS value FROM d",
@@ -278,6 +344,9 @@ ORACLES |= {
     "wasserstein": WASSERSTEIN_SQL,
     "spearman": SPEARMAN_SQL,
     "monotonicity": MONOTONICITY_SQL,
+    "skyline": SKYLINE_SQL,
+    "md_strip": MD_SQL,
+    "tfidf_topk": TFIDF_SQL,
 }
 
 
