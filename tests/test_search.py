@@ -17,7 +17,7 @@ from panelkiln.plans import tree
 from panelkiln.plans.compiler import Compiler
 from panelkiln.plans.typecheck import check
 from panelkiln.plans.types import Kind
-from panelkiln.search import fitness, loop, nsga, variation
+from panelkiln.search import coach, fitness, loop, nsga, variation
 from panelkiln.search.primitives import NoTree, Primitives
 from panelkiln.sources import ledger, panel, runs, synthetic
 from panelkiln.sources.registry import Metric, Registry
@@ -273,3 +273,10 @@ def test_explain_scores_the_whole_panel(spark, data):
     client = card.Canned([json.dumps(CARD, ensure_ascii=False)])
     got = runner.explain(panel.read_long(spark, data[0]), spark.read.parquet(data[1]), "(LT (PctChange 营业收入 12) 0.0)", "Y_npl_12m", REG, client)
     assert "(LT (PctChange 营业收入 12) 0.0)" in client.asked[0][1] and any("direction" in w for w in got.warnings)
+
+
+def test_model_coach_reads_what_it_can():
+    rule = tree.parse("(GT 营业收入 1.0)")
+    c = coach.ModelCoach(card.Canned(['{"rules": ["(GT 营业收入 1.0)", "(Nope", 3]}', '{"scores": [7]}', "?", '{"scores": [0.1, 0.2]}']))
+    assert c.seeds("Y", None, [], [], 5) == [rule] and c.critique([rule]) == [1.0]
+    assert c.cross_source({}, [], [], 5) == [] and c.critique([rule]) == [0.5] and coach.ModelCoach(None).critique([rule]) == [0.5]
