@@ -15,7 +15,7 @@ Scoring reads whole texts: streams of texts advance in step, longest first, and
 all its windows, from its first word to its end token.
 
 What the driver holds is bounded by parameters: `head` frequent words with their counts, the weights of a `vocab`-word
-network, and the square root of the number of partitions of weight sets. Counts of all rarer words stay distributed and
+network, and MOST_SETS sets of weights at once. Counts of all rarer words stay distributed and
 meet the texts' rare words in a join.
 
 NULL and empty texts are the end token alone. A NULL key counts as the empty string. Repeated rows are scored and learned
@@ -38,6 +38,8 @@ from .common import row_key, written
 
 #: The end token as a word: no word holds a line feed.
 END = b"\n"
+#: Sets of weights that reach the driver; more are averaged on the way.
+MOST_SETS = 32
 _F = np.float32
 
 
@@ -336,7 +338,10 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Sett
         shared = spark.sparkContext.broadcast(model)
         trained = learning.mapInArrow(_train(shared, r), schema)
         few = max(1, round(len(docs.inputFiles()) ** 0.5))
-        merged = trained.repartition(few).mapInArrow(_average, schema).collect()
+        averaged = trained.repartition(few).mapInArrow(_average, schema)
+        if few > MOST_SETS:
+            averaged = averaged.repartition(MOST_SETS).mapInArrow(_average, schema)
+        merged = averaged.collect()
         whole = pa.RecordBatch.from_arrays([pa.array([bytes(x["weights"]) for x in merged], pa.binary()), pa.array([x["n"] for x in merged], pa.int64()), pa.array([x["loss"] for x in merged], pa.float64())], ["weights", "n", "loss"])
         for b in _average([whole]):
             model.p = unpack(b.column(0)[0].as_py(), model.p)
