@@ -287,12 +287,21 @@ MD_SQL = f"SELECT doc_id, trim({_MD}) AS text FROM documents"
 
 
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as Markdown whose lines with an odd number of letters up to the first space are headings."""
+    """Each document as Markdown in which a line's first word, if capitalised, is a heading above the rest of it."""
     docs = _table(spark, sf_dir, "documents")
-    marked = F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "# $1\\n")
+    marked = F.regexp_replace("text", "(?m)^([A-Z][a-z]+) ", "# $1\n")
     return corpus.to_chunks(docs.select("doc_id", F.col("lang").alias("industry"), marked.alias("text"))).select("chunk_id", "industry", F.array_join("headings", "/").alias("headings"), "text")
 
 
+CHUNK_SQL = f"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT *, regexp_matches(line, '^[A-Z][a-z]+ ') AS h, sum(regexp_matches(line, '^[A-Z][a-z]+ ')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l),
+s AS (SELECT doc_id, any_value(lang) AS industry, g, coalesce(max(CASE WHEN h THEN regexp_extract(line, '^([A-Z][a-z]+) ', 1) END), '') AS headings,
+  string_agg(regexp_replace(line, '^[A-Z][a-z]+ ', ''), chr(10) ORDER BY i) AS text FROM m GROUP BY doc_id, g),
+b AS (SELECT doc_id, industry, g, headings, trim({_MD}) AS body FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS n FROM b WHERE body <> '')
+SELECT doc_id || '#' || n AS chunk_id, industry, headings, trim(headings || ' ' || body) AS text FROM n"""
+
+
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark item."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("industry"))
@@ -346,6 +355,7 @@ ORACLES |= {
     "monotonicity": MONOTONICITY_SQL,
     "skyline": SKYLINE_SQL,
     "md_strip": MD_SQL,
+    "chunk": CHUNK_SQL,
     "tfidf_topk": TFIDF_SQL,
 }
 
