@@ -90,6 +90,21 @@ def test_batch_fitness_is_that_of_single_rules(spark, labelled):
     assert got[0][3] == pytest.approx(stats.monotonicity(one, "v", "label").collect()[0][0]) and -1 <= got[0][5] <= 0
 
 
+def test_two_values_are_scored_as_any(spark):
+    """The driver's figures of 0/1 values against the general aggregations, a decile between the values included."""
+    r = np.random.default_rng(3)
+    for share in (0.1, 0.5, 0.93):
+        rows = [(float(r.random() < share), int(r.random() < 0.4), "e" if r.random() < 0.5 else "a") for _ in range(101 if share == 0.5 else 150)]
+        c = lambda v, y: float(sum(x[0] == v and x[1] == y and x[2] == "a" for x in rows))
+        e = lambda v: float(sum(x[0] == v and x[2] == "e" for x in rows))
+        got = fitness.of_two((c(0, 1), c(0, 0), e(0)), (c(1, 1), c(1, 0), e(1)))
+        df = spark.createDataFrame(rows, "v double, y int, s string")
+        late = df.where("s = 'a'")
+        a, b = stats.score(late, "v", "y").collect()[0], stats.divergence(df.withColumn("side", F.when(F.col("s") == "e", "expected").otherwise("actual")), "v", "side").collect()[0]
+        assert (got["n"], got["n_pos"]) == (a["n"], a["n_pos"])
+        assert (got["iv"], got["ks"], got["psi"], got["monotonicity"]) == pytest.approx((a["iv"], a["ks"], b["psi"], stats.monotonicity(late, "v", "y").collect()[0][0]))
+
+
 class Eager(loop.NeutralCoach):
     def seeds(self, *a):
         return [tree.parse("(GT 未结清不良类表内信贷余额 0)"), tree.parse("(GT nothing 0)")]
