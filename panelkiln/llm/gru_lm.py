@@ -152,13 +152,24 @@ def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, n
     return logits[rows, target] - np.log(z), e / z[:, None]
 
 
+def _logp(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The same log-probability alone. Where no exponential can overflow and no sum vanishes, rows need no shift."""
+    if logits.max() < 60:
+        z = np.exp(logits) @ np.ones(logits.shape[1], logits.dtype)
+        if z.min() > 1e-30:
+            return logits[np.arange(len(target)), target] - np.log(z)
+    return _softmax_loss(logits, target)[0]
+
+
 def output_logp(p: dict, s: Settings, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """ln P of each target given its state; targets from the vocabulary's size on are other words (their class only). With grad, adds gradients of the negative mean and returns that of h."""
     n_classes = p["wo"].shape[0]
     cls = np.minimum(target // s.per_class, n_classes)
-    out, soft = _softmax_loss(h @ p["wc"] + p["bc"], cls)
-    dh = None
-    if grad is not None:
+    logits, dh = h @ p["wc"] + p["bc"], None
+    if grad is None:
+        out = _logp(logits, cls)
+    else:
+        out, soft = _softmax_loss(logits, cls)
         soft[np.arange(len(cls)), cls] -= 1
         soft /= len(cls)
         grad["wc"] += h.T @ soft
@@ -169,9 +180,12 @@ def output_logp(p: dict, s: Settings, h: np.ndarray, target: np.ndarray, grad: d
     for c in np.nonzero(np.diff(edges))[0]:
         at = order[edges[c] : edges[c + 1]]
         hc = h[at]
-        lp, soft = _softmax_loss(hc @ p["wo"][c] + p["bo"][c], target[at] - c * s.per_class)
-        out[at] += lp
-        if grad is not None:
+        logits = hc @ p["wo"][c] + p["bo"][c]
+        if grad is None:
+            out[at] += _logp(logits, target[at] - c * s.per_class)
+        else:
+            lp, soft = _softmax_loss(logits, target[at] - c * s.per_class)
+            out[at] += lp
             soft[np.arange(len(at)), target[at] - c * s.per_class] -= 1
             soft /= len(cls)
             grad["wo"][c] += hc.T @ soft
