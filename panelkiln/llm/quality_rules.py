@@ -123,16 +123,21 @@ def ordered(docs: DataFrame, text: str = "text", rules=RULES, rows: int = SAMPLE
     return sorted(found, key=lambda x: (-x["selectivity"] / max(x["cost"], 1e-9), x["cost"]))
 
 
+def base_failed(f: Column) -> Column:
+    return (f["n_words"] < MIN_WORDS) | (f["n_repeat_words"] * 100 > f["n_words"] * int(100 * MAX_REPEATED))
+
+
 def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Adds a struct `quality`: the base counts, base_failed, rejected_by and kept. A text that fails the base rule meets no other."""
     order = [x["rule"] for x in ordered(docs, text, rules)]
-    f = F.col("__base")
-    failed = (f["n_words"] < MIN_WORDS) | (f["n_repeat_words"] * 100 > f["n_words"] * int(100 * MAX_REPEATED))
-    out = docs.withColumn("__base", base_features(F.col(text))).withColumn("__failed", failed)
+    out = docs.withColumn("__base", base_features(F.col(text))).withColumn("__failed", base_failed(F.col("__base")))
     out = out.withColumn("__by", F.when(F.col("__failed"), F.lit("base")).otherwise(rejected_by(F.col(text), order)))
     return out.withColumn("quality", F.struct("__base.*", F.col("__failed").alias("base_failed"), F.col("__by").alias("rejected_by"), F.col("__by").isNull().alias("kept"))).drop("__base", "__failed", "__by")
 
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows that no rule rejects, with the columns they came with."""
-    return judge(docs, text, rules).where("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = [x["rule"] for x in ordered(docs, text, rules)]
+    t = F.col(f"`{text}`")
+    # one expression: a condition over columns made before it would repeat them wherever it names them
+    return docs.where(let(base_features(t), lambda b: ~base_failed(b) & rejected_by(t, order).isNull()))
