@@ -265,6 +265,8 @@ def test_page_blocks():
     assert page_text.blocks_of(None) == ([], False) and page_text.blocks_of("<p>a<p>b") == (["a", "b"], False)
     assert page_text.blocks_of("<article><p>x</p><p>cut of")[0] == ["x", "cut of"]
     page_text.blocks_of("<a " + 'x="y" ' * 5000)
+    odd = '<article><p title="hidden menu" data-class="ad">stays</p><div class=\'site-notice\'>goes</div><p hidden>goes</p><header><h2>own</h2></header><div role=navigation>goes</div></article>'
+    assert page_text.blocks_of(odd)[0] == ["stays", "own"]
 
 
 def test_lcs_against_table():
