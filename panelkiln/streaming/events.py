@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def windowed_counts(events: DataFrame, kinds: Sequence[str], length: str = "30 days", slide: str = "1 day", late: str = "7 days", entity: str = "entity_id", time: str = "event_time", kind: str = "event_type") -> DataFrame:
-    """entity, window_start, window_end, n, and whether any of the kinds occurred (always true here: windows without events have no row)."""
+    """entity, window_start, window_end, n: events of the kinds in each window that has any."""
     some = events.where(F.col(kind).isin(list(kinds))).withWatermark(time, late)
     got = some.groupBy(F.window(time, length, slide), entity).agg(F.count("*").alias("n"))
     return got.select(entity, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
