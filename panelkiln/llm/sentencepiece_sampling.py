@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET = 3.0
 TEMPERATURE = 1.0
 SEED = 11
-CHUNK = 1 << 20
+CHUNK = 3 << 19
 _UNIT = re.compile(r" ?[^ \n]+| |\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
