@@ -96,7 +96,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), grams=True)
     return rows.select("doc_id", "text", F.col("__removed").alias("n_removed"))
 
 

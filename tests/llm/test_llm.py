@@ -433,6 +433,34 @@ def test_lines_on_odd_rows(odd, none, tmp_path):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_lines_with_changed_words_meet(spark, tmp_path):
+    """Against edit similarity alone: a word changed in lines of 12 to 100 words, and lines that are nobody's copy."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts, copies = [], 0
+    for n in (12, 20, 40, 100):
+        for _ in range(25):
+            w = [word() for _ in range(n)]
+            other = list(w)
+            other[r.randrange(n)] = word()
+            texts += [" ".join(w), " ".join(other)]
+            copies += 1
+    df = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tmp_path)
+    got = {x["doc_id"]: x["__removed"] for x in line_dedup.dedup(df, grams=True).collect()}
+    assert all(got[i] + got[i + 1] <= 1 for i in range(0, len(texts), 2))
+    assert sum(got.values()) >= 0.97 * copies
+
+
+def test_gram_pairs_of_large_blocks(spark, tmp_path):
+    """Two large groups that meet in blocks, dealt with by hubs and by the lines that are in no hub's group."""
+    plane = line_dedup._plane()
+    assert len({frozenset(x) for x in plane}) == 20 and all(sum({a, b} <= set(x) for x in plane) == 1 for a in range(16) for b in range(a))
+    active = spark.createDataFrame([(i, 10, 7, 0 if i < 40 else 40 + i % 3) for i in range(50)], "id long, size int, block long, root long")
+    pairs = {(x["a"], x["b"]) for x in line_dedup.gram_others(active, 0.8).collect()}
+    root = lambda i: 0 if i < 40 else 40 + i % 3
+    assert pairs == {(a, b) for b in range(50) for a in range(b) if root(a) != root(b)}
+
+
 def test_middles_keep_distances(spark):
     r = random.Random(9)
     pairs = []
