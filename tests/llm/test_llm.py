@@ -451,6 +451,20 @@ def test_lines_with_changed_words_meet(spark, tmp_path):
     assert sum(got.values()) >= 0.97 * copies
 
 
+def test_long_lines_by_one_rule(spark):
+    """Every word counts, whatever the line's length; and near copies of long lines go."""
+    w = [f"w{i * 7919 % 30011}" for i in range(24_600)]
+    lines = [" ".join(w[:n]) for n in (16_380, 16_390, 24_570, 24_580)] + ["a b c"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    got = {x["id"]: x["sim"] & (2**64 - 1) for x in line_dedup.simhashes(df).collect()}
+    for i, s in enumerate(lines):
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s.split(" ")]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    blocks = line_dedup.gram_blocks(df).collect()
+    met = lambda a, b: {x["block"] for x in blocks if x["id"] == a} & {x["block"] for x in blocks if x["id"] == b}
+    assert met(0, 1) and met(2, 3)
+
+
 def test_gram_pairs_of_large_blocks(spark, tmp_path):
     """Two large groups that meet in blocks, dealt with by hubs and by the lines that are in no hub's group."""
     plane = line_dedup._plane()
