@@ -1,0 +1,86 @@
+"""Near-duplicate texts by the Jaccard similarity of their different 5-word shingles, for the pipeline.
+
+1. Texts with equal sets of shingles are one from here on. A text of fewer words than a shingle is one shingle; NULL and empty ones have none and are equal.
+2. MinHash: of 16 orders of the shingles' hashes each text has the first; texts meet by the 20 lines of `line_dedup`'s plane. With
+   similarity 0.8 about 13 of the 16 agree; 10 that agree always meet.
+3. Pairs stand if the similarity of the two sets themselves is at least 0.8. Hubs come first, then texts in different groups.
+4. Of each connected group the text with the smallest key stays; one without a key only where none has one.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint, components, row_key
+from .line_dedup import ORDERS, PLANE, gram_hubs, gram_others, shared_blocks, texts_of
+from .simhash import SEED, shingles
+
+SHINGLE = 5
+SIMILARITY = 0.8
+_ORDERS = np.array(ORDERS, np.int64).view(np.uint64)
+
+
+def hashes(text: bytes | None) -> np.ndarray:
+    """The different shingles' hashes, sorted."""
+    s = shingles(text or b"", SHINGLE)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), np.uint64, len(s)))
+
+
+def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size, same, blocks = [], [], []
+        for t in b.column(2).cast(pa.binary()):
+            h = hashes(t.as_py())
+            size.append(len(h))
+            same.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+            least = np.array([(h ^ c).min() for c in _ORDERS]) if len(h) else None
+            blocks.append([] if least is None else [xxhash.xxh64_intdigest(least[ks].tobytes(), n) - (1 << 63) for n, ks in enumerate(PLANE)])
+        columns = [b.column(0), b.column(1), pa.array(size, pa.int32()), pa.array(same, pa.binary()), pa.array(blocks, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "size", "same", "blocks"])
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if both else 0.0
+
+
+def _alike(least: float):
+    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True)
+            ok = pa.array([similarity(hashes(x.as_py()), hashes(y.as_py())) >= least for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return go
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    pairs = checkpoint(pairs)
+    some = texts_of(texts, pairs)
+    both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """One document of each group, with the columns it came with."""
+    rows = docs.select(row_key().alias("id"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    signed = checkpoint(rows.mapInArrow(_signatures, f"id long, doc_id {kind}, size int, same binary, blocks array<long>"))
+    reps = checkpoint(signed.groupBy("same").agg(F.min("id").alias("rep")))
+    texts = rows.select("id", "text")
+    active = shared_blocks(signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "size", "blocks"))
+    stars = checkpoint(components(verified(gram_hubs(active, least), texts, least), "a", "b"))
+    rooted = checkpoint(active.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    more = verified(gram_others(rooted, least), texts, least)
+    found = components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
+    members = signed.select("id", "doc_id", "same").join(reps, "same").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
+    kept = members.groupBy(F.coalesce("root", "rep").alias("class")).agg(first).select(F.col("first.id").alias("__row"))
+    return docs.withColumn("__row", row_key()).join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,3 +66,30 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, "")
         assert out.columns == empty.columns and out.count() == 0, name
+
+
+def test_near_copies_go(spark, tmp_path):
+    """Against brute force on similarity alone: words changed in texts of 100 to 1000 words."""
+    r = random.Random(13)
+    texts = []
+    for n in (100, 300, 1000):
+        for _ in range(6):
+            w = [f"w{r.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(w))
+            for k in (1, n // 100, n // 50, n // 20):
+                other = list(w)
+                for _ in range(k):
+                    other[r.randrange(n)] = f"x{r.randrange(5000)}"
+                texts.append(" ".join(other))
+    texts += [texts[0], "", None, "a b", "A  b"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "t")), "").collect()}
+    assert got == set(root) and len(got) < len(texts) // 2
