@@ -9,7 +9,8 @@ the rows, spread evenly over the rows in the order (size class, seeded hash), so
 wanted number of words for small sources too. Places in that order come from counts of cells (source, size class, hash
 prefix): no source, however large, is ordered in one task.
 
-NULL texts have size 0, a NULL source is a source of its own, rows are told apart by their place in the table.
+NULL texts have size 0, a NULL source is a source of its own, rows are told apart by their place in the stored table. Texts of any
+length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, words
+from .common import keyed, words
 
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
@@ -53,7 +54,8 @@ def repetitions(docs: DataFrame, text: str = "text", source: str = "source", key
     digits: of the hash prefix in a cell's name; each digit divides the rows of a cell by 16.
     """
     h = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
-    rows = docs.select(row_key().alias("__row"), F.col(key), F.col(source), F.size(words(F.col(text))).cast("long").alias("size"))
+    rows = keyed(docs) if "__row" not in docs.columns else docs
+    rows = rows.select("__row", F.col(key), F.col(source), F.size(words(F.col(text))).cast("long").alias("size"))
     rows = rows.withColumn("__h", h).withColumn("__class", F.length(F.bin("size"))).withColumn("__cell", F.substring("__h", 1, digits))
     cell = [source, "__class", "__cell"]
     place = Window.partitionBy(*cell).orderBy("__h", "size", "__row")
@@ -83,6 +85,7 @@ def _join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 def mix(docs: DataFrame, **of) -> DataFrame:
     """The mixed table: every row as often as it is taken, with the columns it came with."""
-    taken = repetitions(docs, **of).where("repeats > 0").select("__row", F.col("repeats").cast("int").alias("__repeats"))
-    out = docs.withColumn("__row", row_key()).join(taken, "__row")
+    rows = keyed(docs)
+    taken = repetitions(rows, **of).where("repeats > 0").select("__row", F.col("repeats").cast("int").alias("__repeats"))
+    out = rows.join(taken, "__row")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,6 +19,7 @@ def plain_pipeline(rows):
         kept = []
         for line in r[1].split("\n"):
             key = " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())
+            key = key or line.strip()
             if not line_dedup_eligible(line) or key not in seen:
                 kept.append(line)
             seen.add(key) if line_dedup_eligible(line) else None
