@@ -287,11 +287,17 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     by_print = one.select("id", "fp").join(tops, "fp").where("id != top").select(F.col("top").alias("a"), F.col("id").alias("b"))
     # by MinHash: each text with its blocks' smallest, then those still apart
     active = written(hub_rows(one.select("id", "size", "blocks")), "active")
-    stars = checkpoint(components(verified(hub_pairs(active, least).union(by_print).distinct(), places, rows, least, n), "a", "b"))
-    joined = active.join(stars.select(F.col("node").alias("id"), "root"), "id", "left").join(stars.select(F.col("node").alias("hub"), F.col("root").alias("top")), "hub", "left")
+    hubs = checkpoint(hub_pairs(active, least))
+    check = lambda pairs: checkpoint(verified(pairs, places, rows, least, n))
+    stars = checkpoint(components(check(hubs.where("best").select("a", "b").union(by_print).distinct()), "a", "b"))
+    roots = lambda key, root: stars.select(F.col("node").alias(key), F.col("root").alias(root))
+    edges = lambda more: stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    apart = hubs.where("not best").join(roots("a", "ra"), "a", "left").join(roots("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    found = check(apart.select("a", "b"))
+    stars = checkpoint(components(edges(found), "a", "b"))
+    joined = active.join(roots("id", "root"), "id", "left").join(roots("hub", "top"), "hub", "left")
     joined = checkpoint(joined.select("block", "id", "size", F.coalesce("root", "id").alias("root"), F.coalesce("top", "hub").alias("top")))
-    more = verified(other_pairs(joined, least), places, rows, least, n)
-    found = components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
+    found = components(edges(check(other_pairs(joined, least))), "a", "b")
     members = signed.select("id", "__row", "doc_id", "same").join(reps, "same").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "__row")).alias("first")
     kept = members.groupBy(F.coalesce("root", "rep").alias("class")).agg(first).select("first.__row")

