@@ -4,13 +4,13 @@ The vocabulary comes from a SentencePiece model file. Its merge ranks give piece
 p ~ (rank + OFFSET) ** -1: a unigram model over the given pieces, with a temperature. A character without a piece falls back to
 its UTF-8 bytes, which are pieces too.
 
-Spaces become part of the piece that follows, as in SentencePiece; as no piece reaches over a space or a line feed, the
-lattice of a text falls apart into units (a word with the space before it, a space, a line feed). Each different unit of a
+Spaces become part of the piece that follows, as in SentencePiece. No piece reaches over a line feed, or over a space after another
+character; so the lattice of a text falls apart into units (a word with the spaces before it, spaces at the end of a line, a line feed). Each different unit of a
 chunk gets its lattice once: substrings of up to 16 characters are hashed by length, looked up in the vocabulary and compared
 with it; forward filtering runs over all units at once, one end position at a time. Backward sampling then walks all
 occurrences at once from their ends: each step draws one edge into the present state with the edge's posterior probability.
 The random numbers are a hash of the seed, the row's key, the unit's place in the text and the step: a row's segmentation
-is the same in any batch, partition or rerun.
+is the same in any batch, partition or rerun: edges into a place are in a fixed order, and their shares are sums of these edges alone.
 
 Decoding joins the pieces' bytes and gives the text back exactly, whatever it holds (U+2581 itself is written as bytes).
 
@@ -35,7 +35,7 @@ OFFSET = 3.0
 TEMPERATURE = 1.0
 SEED = 11
 CHUNK = 3 << 19
-_UNIT = re.compile(r" ?[^ \n]+| |\n")
+_UNIT = re.compile(r" *[^ \n]+| +|\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
@@ -59,7 +59,7 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 t = sp.id_to_piece(i).replace("▁", " ")
                 self.bytes[i] = t.encode()
-                if " " in t[1:] or "\n" in t:
+                if " " in t.lstrip(" ") or "\n" in t:
                     continue  # reaches over a unit's edge: never drawn
                 texts.append(t)
                 ids.append(i)
@@ -94,6 +94,16 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h * _P) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+def _sums(v: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums from each head to the next, added one by one in order: the same bits wherever a group lies."""
+    size = np.diff(np.append(heads, len(v)))
+    out = v[heads]
+    for k in range(1, int(size.max())):
+        more = np.nonzero(size > k)[0]
+        out[more] += v[heads[more] + k]
+    return out
+
+
 @lru_cache(2)
 def pieces(model: str, temperature: float) -> Pieces:
     return Pieces(model, temperature)
@@ -147,7 +157,8 @@ class Lattice:
         size = 1 + (cp[bare] >= 0x80) + (cp[bare] >= 0x800) + (cp[bare] >= 0x10000)
         src.append(state[bare]), dst.append(state[bare] + 1), at.append(offset[bare] + 1), item.append(-1 - cp[bare].astype(np.int64)), score.append(size * p.fallback)
         src, dst, at, item, score = (np.concatenate(x) for x in (src, dst, at, item, score))
-        order = np.argsort(at * np.int64(len(cp) + len(units) + 1) + dst)
+        # stable: edges into one place stay in the order of their lengths, whatever else the chunk holds
+        order = np.argsort(at * np.int64(len(cp) + len(units) + 1) + dst, kind="stable")
         src, dst, at, item, score = (x[order] for x in (src, dst, at, item, score))
         new = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -164,13 +175,16 @@ class Lattice:
             r = heads[ga:gb] - a
             most = np.maximum.reduceat(v, r)
             g = group[a:b] - group[a]
-            total = most + np.log(np.add.reduceat(np.exp(v - most[g]), r))
+            total = most + np.log(_sums(np.exp(v - most[g]), r))
             alpha[dst[heads[ga:gb]]] = total
             p_edge[a:b] = np.exp(v - total[g])
-        run = np.cumsum(p_edge)
-        before = np.concatenate([[0.0], run])[heads] if len(heads) else run
-        upto = np.minimum(run - before[group], 1.0)
+        # each place's own running sums: a sum over the chunk would round differently from place to place
+        upto = p_edge.copy()
         tails = np.concatenate([heads[1:], [len(dst)]]) - 1 if len(heads) else heads
+        on = heads[heads < tails] + 1
+        while len(on):
+            upto[on] += upto[on - 1]
+            on = on[on < tails[group[on]]] + 1
         upto[tails] = 1.0
         self.upto, self.heads, self.src, self.item = upto, heads, src, item
         self.group = np.full(len(alpha), -1, np.int64)
