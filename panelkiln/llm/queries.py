@@ -48,7 +48,7 @@ FROM b
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = telephony.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return telephony.expand(stored, pcm=False)
+    return telephony.expand(stored)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ store: a text's UTF-8 bytes, padded with 255 up to a positive multiple of 576 (1
 8 kHz mu-law WAVE file, byte for byte.
 expand: parses the stored file, and from its samples alone gives the payload's digests and what three decoders hear in it:
 mu-law and A-law by 256-entry tables, and IMA ADPCM in blocks of 36 bytes, decoded with numpy across all blocks of a
-batch at once, one nibble a step. The mu-law signal, resampled to 16 kHz by a half-band filter, is stored as 16-bit PCM.
+batch at once, one nibble a step. The mu-law signal, resampled to 16 kHz by a half-band filter, is stored as a 16-bit PCM
+WAVE file in a column of its own; its part of `feature` is computed from that file, read back.
+
+Texts of any length are stored whole, each as one file.
 
 NULL and empty texts give one padded block. Equal texts give equal bytes, digests and features. Repeated rows and NULL keys
 pass through one by one; other columns are ignored.
@@ -26,7 +29,7 @@ UNIT = 576
 BLOCK = 36
 RATE = 8000
 #: Payload bytes handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 # Fixed values of the IMA ADPCM format: steps and index changes.
 STEPS = np.array([
@@ -137,8 +140,8 @@ def _loud(x: np.ndarray) -> int:
     return round(float(np.sqrt(np.square(x, dtype=np.float64).mean())))
 
 
-def _expand(pcm: bool):
-    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def _expand():
+    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
 
     def read(keys: pa.Array, sizes: pa.Array, media: pa.Array) -> pa.RecordBatch:
         files = [x.as_py() for x in media]
@@ -150,18 +153,15 @@ def _expand(pcm: bool):
         for x, n, e in zip(data, n_blocks, power, strict=True):
             code = np.frombuffer(x, np.uint8)
             heard = MU[code]
-            sound = resampled(heard).tobytes()
+            sounds.append(wave_file(resampled(heard).tobytes(), 1, 2 * RATE, 16))
+            sound = samples_of(sounds[-1])
             turns = int(np.count_nonzero((heard[1:] < 0) != (heard[:-1] < 0)))
             features.append(f"mu={_loud(heard)};turns={turns};a={_loud(A[code])};adpcm={round(float(np.sqrt(e / (65 * n))))};pcm16k={zlib.crc32(sound):08x}")
-            if pcm:
-                sounds.append(wave_file(sound, 1, 2 * RATE, 16))
         columns = [
             keys, sizes, pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data]),
-            pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(features),
+            pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(features), pa.array(sounds, pa.binary()),
         ]
-        if pcm:
-            columns.append(pa.array(sounds, pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, names + ["pcm"] * pcm)
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,8 +182,8 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(F.col(key), F.col(text)).mapInArrow(_store, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
-def expand(stored: DataFrame, key: str = "doc_id", pcm: bool = True) -> DataFrame:
-    """What reading the stored files gives; with pcm also the resampled file."""
+def expand(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What reading the stored files gives, and pcm, the resampled file."""
     kind = stored.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * pcm
-    return stored.select(key, "n_bytes", "media").mapInArrow(_expand(pcm), schema).withColumnRenamed("key", key)
+    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    return stored.select(key, "n_bytes", "media").mapInArrow(_expand(), schema).withColumnRenamed("key", key)

@@ -56,6 +56,23 @@ def test_pieces_round_trip_and_reproducible(spark, odd, none):
     assert sentencepiece_sampling.encode(none).count() == 0
 
 
+def test_pieces_in_chunks_of_any_size(spark):
+    """What else is in a chunk or partition changes nothing."""
+    p = sentencepiece_sampling.pieces(sentencepiece_sampling.MODEL, 1.0)
+    texts = [t.replace(" ber", "    ber") for t in made_up(200, 6)]
+    keys = [f"k{i}" for i in range(200)]
+    def split(t, k):
+        ids, n = sentencepiece_sampling.encode_all(t, k, p)
+        return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    whole = split(texts, keys)
+    for size in (1, 20):
+        assert [x for i in range(0, 200, size) for x in split(texts[i : i + size], keys[i : i + size])] == whole
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({x["doc_id"]: x["ids"] for x in sentencepiece_sampling.encode(df.repartition(n)).collect()} for n in (1, 7))
+    assert one == many == dict(enumerate(whole))
+    assert any(p.bytes[i] == b"   " for x in whole for i in x)  # runs of spaces are pieces too
+
+
 @pytest.mark.parametrize("text", ["▁ ▁▁", "a\u0000b", "  two  spaces \n\n x", "😀日本語テキスト", "é ​", "\n", " ", "x" * 5000])
 def test_pieces_of_hard_texts(text):
     p = sentencepiece_sampling.pieces(sentencepiece_sampling.MODEL, 1.0)
@@ -210,7 +227,15 @@ def test_telephony(odd, none):
         pad = b + b"\xff" * (-len(b) % 576 if b else 576)
         r = by[d["doc_id"]][0]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:]))
-        assert len(telephony.samples_of(bytes(r["pcm"]))) == 4 * len(pad)
+        sound = telephony.samples_of(bytes(r["pcm"]))
+        heard = [int(telephony.MU[x]) for x in pad[:3000]]
+        assert len(sound) == 4 * len(pad) and list(np.frombuffer(sound, "<i2")[: 2 * len(heard) : 2]) == heard
+        feature = dict(x.split("=") for x in r["feature"].split(";"))
+        if len(pad) <= 3000:
+            loud = lambda x: round((sum(int(v) ** 2 for v in x) / len(x)) ** 0.5)
+            turns = sum((a < 0) != (b < 0) for a, b in zip(heard, heard[1:], strict=False))
+            blocks = telephony.decode_adpcm(np.frombuffer(pad, np.uint8).reshape(-1, 36)).ravel()
+            assert feature == {"mu": str(loud(heard)), "turns": str(turns), "a": str(loud([telephony.A[x] for x in pad])), "adpcm": str(loud(blocks)), "pcm16k": f"{zlib.crc32(sound):08x}"}
     assert telephony.expand(telephony.store(none)).count() == 0
 
 
