@@ -8,8 +8,9 @@ Messages fold first (one group a message); a conversation then gathers its finis
 The template is  <|role|>text<|end|>  for each message. In roles and texts a backslash becomes \\s, `<` becomes \\l and
 `|` becomes \\p: control strings can't occur in them, and the mapping is undone without ambiguity.
 
-NULL texts and roles count as empty; messages with equal numbers are ordered by role and text; extra columns are ignored;
-an empty log gives no rows.
+NULL texts and roles count as empty; messages with equal numbers are ordered by role and text, those without a number come last; repeated rows are
+messages of their own; extra columns, whatever their names, are ignored; an empty log gives no rows. Texts of any length are formatted whole: the
+messages of a conversation make one row, as its formatted text does.
 """
 
 from __future__ import annotations
@@ -32,12 +33,20 @@ def unescape(text: Column) -> Column:
 
 
 def events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = 200) -> DataFrame:
-    """Finished rows as a log: a start, then the text as deltas of `chunk` characters. Rows with the same turn stay apart."""
+    """Finished rows as the log of a session that led to them. Each message starts with a draft that is thrown away (`regenerate`), then its first
+    part is streamed with a slip and put right (`edit`), and the rest follows as deltas of `chunk` characters. Rows with the same turn stay apart."""
     t, r = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(role), F.lit(""))
     n = F.ceil(F.length(t) / F.lit(chunk)).cast("int")
-    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("seq"), F.lit("delta").alias("op"), F.substring(t, (i - 1) * chunk + 1, F.lit(chunk)).alias("text"))))
-    start = F.array(F.struct(F.lit(0).alias("seq"), F.lit("start").alias("op"), F.lit("").alias("text")))
-    log = rows.select(F.col(conv).alias("conversation"), F.struct(F.col(turn).alias("turn"), F.monotonically_increasing_id().alias("row")).alias("message"), r.alias("role"), F.concat(start, F.coalesce(pieces, F.slice(start, 1, 0))).alias("e"))
+    event = lambda seq, op, said: F.struct(seq.cast("int").alias("seq"), F.lit(op).alias("op"), said.alias("text"))
+    part = lambda i: F.substring(t, (i - 1) * chunk + 1, F.lit(chunk))
+    first = [event(F.lit(0), "start", F.lit("")), event(F.lit(1), "delta", F.concat(F.lit("draft: "), F.reverse(part(F.lit(1))))), event(F.lit(2), "regenerate", F.lit(None).cast("string"))]
+    put_right = F.array(event(F.lit(3), "delta", F.concat(part(F.lit(1)), F.lit(" slip"))), event(F.lit(4), "edit", part(F.lit(1))))
+    rest = F.when(n > 1, F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: event(i + 3, "delta", part(i))))
+    none = F.slice(F.array(*first), 1, 0)
+    log = rows.select(
+        F.col(conv).alias("conversation"), F.struct(F.col(turn).alias("turn"), F.monotonically_increasing_id().alias("row")).alias("message"), r.alias("role"),
+        F.concat(F.array(*first), F.when(n > 0, put_right).otherwise(none), F.coalesce(rest, none)).alias("e"),
+    )
     return log.select("conversation", "message", "role", F.inline("e"))
 
 
@@ -52,7 +61,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """One row a conversation: formatted (the text) and mask (for each message where, counted from its start, the loss applies: offset and length, 0 for none)."""
-    escaped = messages.select("conversation", F.struct("message.turn", F.col("role").alias("role"), F.col("text").alias("text")).alias("m"))
+    escaped = messages.select("conversation", F.struct(F.col("message.turn").isNull().alias("last"), "message.turn", F.col("role").alias("role"), F.col("text").alias("text")).alias("m"))
     m = escaped.groupBy("conversation").agg(F.array_sort(F.collect_list("m")).alias("m"))
     piece = lambda x: F.concat(F.lit(OPEN), escape(x["role"]), F.lit(CLOSE), escape(x["text"]), F.lit(END))
     span = lambda x: F.struct((F.length(escape(x["role"])) + len(OPEN) + len(CLOSE)).alias("offset"), F.when(x["role"] == ASSISTANT, F.length(escape(x["text"]))).otherwise(0).alias("length"))
