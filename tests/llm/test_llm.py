@@ -273,10 +273,23 @@ def test_chat_nulls_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = spark.createDataFrame([(1, 0, None, None), (None, 1, "assistant", "x" * 5000), (1, None, "assistant", ""), (1, 0, "user", "hi"), (1, 0, "user", "hi")], schema)
     got = {r["conversation"]: r for r in chat_format.format_chat(chat_format.events(rows)).collect()}
-    assert len(got[1]["turns"]) == 4 and got[None]["loss_text"] == "x" * 5000
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", ""), ("user", "hi"), ("user", "hi"), ("assistant", "")] and got[None]["loss_text"] == "x" * 5000
     assert chat_format.format_chat(chat_format.events(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_chat_log_of_finished_rows(spark):
+    """Every message of the log has a draft thrown away and an edit, and folds back; columns with the log's own names are ignored."""
+    r = random.Random(2)
+    texts = ["", "short", *("".join(r.choice("ab <|\\>\n") for _ in range(n)) for n in (199, 200, 201, 1000))]
+    rows = [(i % 2, i, "assistant" if i % 2 else "user", t, 5, "op", "m", 7, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int, op string, message string, conversation int, formatted string")
+    log = chat_format.events(df)
+    per = {(x["turn"], x["op"]): x["count"] for x in log.groupBy("message.turn", "op").count().collect()}
+    assert all(per[i, "regenerate"] == 1 and per.get((i, "edit"), 0) == (1 if t else 0) for i, t in enumerate(texts))
+    got = {x["conversation"]: [(t["role"], t["text"]) for t in x["turns"]] for x in chat_format.format_chat(log.orderBy(F.rand(1))).collect()}
+    assert got == {k: [(x[2], x[3]) for x in rows if x[0] == k] for k in (0, 1)}
+
+
 # ---- 6
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><article>";</script></head><body class="page"><nav><ul><li>Home</li></ul></nav>
@@ -598,7 +611,7 @@ def test_extra_columns_with_clashing_names(spark, tmp_path):
     schema = SCHEMA + ", row long, pos int, norm string, sim long, id long, size long, quality string, key string, fp long, target double, repeats int, ids string"
     rows = [(i, t, "en", "s", 0, 1, 2, "n", 3, 4, 5, "q", "k", 6, 1.0, 1, "x") for i, t in enumerate(made_up(5))]
     df = stored(spark.createDataFrame(rows, schema), tmp_path)
-    assert quality_rules.keep(df).columns == df.columns
+    assert quality_rules.keep(df).columns == df.columns and quality_rules.judge(df, name="verdict").columns == [*df.columns, "verdict"]
     assert line_dedup.dedup(df).drop("__removed").columns == df.columns
     assert simhash.dedup(df).columns == df.columns and mixing.mix(df).columns == df.columns
     for out in (sentencepiece_sampling.encode(df), gru_lm.score(df, settings=SMALL), telephony.expand(telephony.store(df)), license_scan.scan(df), mixing.repetitions(df)):
