@@ -6,10 +6,12 @@ Learning, from the rows whose crc32(key as text) mod `folds` is not `held`:
 2. The output softmax is factored by class: the `vocab` most frequent tokens, by frequency, into classes of `per_class`,
    and one class for all other words, seen or not. P(token) = P(class | state) P(token | class, state); inside
    the class of other words the probability is (count + 1) / (all their counts + their number + 1).
-3. The network learns by backpropagation in numpy, truncated at `window` steps. Each learning text is cut into segments of
-   `segment` tokens; one segment in `thin`, picked by a hash of row key and segment number, takes part in a round, so what
-   is learned from grows with the input. Every partition trains its own copy (Adam, many streams in step); the
-   copies are averaged by their number of tokens in a tree, and the next round starts from the average.
+3. The network learns by backpropagation in numpy, truncated at `window` steps, from every learning text, each in one of
+   `rounds` rounds (by a hash of its key). Many streams advance in step; a stream takes the next text when one ends, and carries a
+   text's state over all its windows. Of the last texts of a partition, when most streams have run dry, the rests are dealt out to all streams in
+   segments of `segment` tokens, each with a fresh state. Every partition trains its own copy (Adam); the copies are averaged by their number
+   of tokens in a tree, and the next round starts from the average. So the weights, and with them the scores, depend on how the
+   table is split; counts and base scores don't.
 
 Scoring reads whole texts: streams of texts advance in step, longest first, and each text's state is carried over
 all its windows, from its first word to its end token.
@@ -18,13 +20,12 @@ What the driver holds is bounded by parameters: `head` frequent words with their
 network, and MOST_SETS sets of weights at once. Counts of all rarer words stay distributed and
 meet the texts' rare words in a join.
 
-NULL and empty texts are the end token alone. A NULL key counts as the empty string. Repeated rows are scored and learned
-each. Other columns are ignored. With no learning text at all, the counts are zero and the untrained network scores.
+NULL and empty texts are the end token alone; texts of any length are learned and scored whole. A NULL key counts as the empty string. Repeated rows are scored and learned
+each. An empty table gives no rows. Other columns are ignored. With no learning text at all, the counts are zero and the untrained network scores.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -51,10 +52,9 @@ class Settings:
     head: int = 1 << 18
     window: int = 32
     segment: int = 128
-    thin: int = 32
     rounds: int = 2
     streams: int = 512
-    train_streams: int = 64
+    train_streams: int = 256
     rate: float = 0.01
     chunk: int = 3_000_000
     folds: int = 7
@@ -143,22 +143,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log-probability of the targets, and the softmax itself."""
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these by row. Where none can overflow and no sum vanishes, rows need no shift."""
+    if logits.max() < 60:
+        e = np.exp(logits)
+        z = e @ np.ones(logits.shape[1], logits.dtype)
+        if z.min() > 1e-30:
+            return logits, e, z
     logits = logits - logits.max(axis=1, keepdims=True)
     e = np.exp(logits)
-    z = e.sum(axis=1)
-    rows = np.arange(len(target))
-    return logits[rows, target] - np.log(z), e / z[:, None]
+    return logits, e, e.sum(axis=1)
+
+
+def _softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log-probability of the targets, and the softmax itself."""
+    logits, e, z = _exponentials(logits)
+    e /= z[:, None]
+    return logits[np.arange(len(target)), target] - np.log(z), e
 
 
 def _logp(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The same log-probability alone. Where no exponential can overflow and no sum vanishes, rows need no shift."""
-    if logits.max() < 60:
-        z = np.exp(logits) @ np.ones(logits.shape[1], logits.dtype)
-        if z.min() > 1e-30:
-            return logits[np.arange(len(target)), target] - np.log(z)
-    return _softmax_loss(logits, target)[0]
+    """The same log-probability alone."""
+    logits, _, z = _exponentials(logits)
+    return logits[np.arange(len(target)), target] - np.log(z)
 
 
 def output_logp(p: dict, s: Settings, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -203,37 +210,52 @@ def _step(gx: np.ndarray, h: np.ndarray, wh: np.ndarray, n: int) -> tuple[np.nda
     return z * h + (1 - z) * c, z, r, c, gh[:, 2 * n :]
 
 
-def train_window(p: dict, s: Settings, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, dict]:
-    """x, y: (window, streams) inputs and targets. The loss (mean negative ln P), the last state and the gradients."""
+def train_window(p: dict, s: Settings, x: np.ndarray, y: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, real: np.ndarray | None = None) -> tuple[float, np.ndarray, dict]:
+    """x, y: (window, streams) inputs and targets; fresh: where a text begins, so that the state starts from zero; real: which places count (all). The loss
+    (mean negative ln P), the last state and the gradients."""
     n, steps = s.hidden, len(x)
     emb = p["emb"][x]
     gx = emb @ p["wx"] + p["b"]
-    kept, states = [], []
+    keep = None if fresh is None or not fresh.any() else (~fresh).astype(_F)[:, :, None]
+    kept, hs = [], np.empty((steps, x.shape[1], n), _F)
     for t in range(steps):
-        new, z, r, c, u = _step(gx[t], h, p["wh"], n)
+        if keep is not None:
+            h = h * keep[t]
+        hs[t], z, r, c, u = _step(gx[t], h, p["wh"], n)
         kept.append((h, z, r, c, u))
-        states.append(new)
-        h = new
+        h = hs[t]
     grad = {k: np.zeros_like(v) for k, v in p.items()}
-    hs = np.stack(states)
-    lp, dh_out = output_logp(p, s, hs.reshape(-1, n), y.reshape(-1), grad)
+    flat = hs.reshape(-1, n)
+    if real is None or real.all():
+        lp, dh_out = output_logp(p, s, flat, y.reshape(-1), grad)
+    else:
+        at = np.nonzero(real.reshape(-1))[0]
+        dh_out = np.zeros_like(flat)
+        lp, dh_out[at] = output_logp(p, s, flat[at], y.reshape(-1)[at], grad)
     dh_out = dh_out.reshape(hs.shape)
     dgx = np.empty_like(gx)
+    dgh = np.empty_like(gx)
     dh = np.zeros_like(h)
     for t in range(steps - 1, -1, -1):
         h0, z, r, c, u = kept[t]
         dh = dh + dh_out[t]
-        dz, dc = dh * (h0 - c) * z * (1 - z), dh * (1 - z) * (1 - c * c)
-        dr = dc * u * r * (1 - r)
-        gate = np.concatenate([dz, dr, dc], axis=1)
-        dgx[t] = gate
-        gate = np.concatenate([dz, dr, dc * r], axis=1)
-        grad["wh"] += h0.T @ gate
+        dn = dh * (1 - z)
+        dc = dn * (1 - c * c)
+        gate, own = dgh[t], dgx[t]
+        np.multiply(dn * z, h0 - c, out=own[:, :n])
+        np.multiply(dc * u * r, 1 - r, out=own[:, n : 2 * n])
+        own[:, 2 * n :] = dc
+        gate[:, : 2 * n] = own[:, : 2 * n]
+        np.multiply(dc, r, out=gate[:, 2 * n :])
         dh = dh * z + gate @ p["wh"].T
-    flat = dgx.reshape(-1, 3 * n)
-    grad["wx"] += emb.reshape(-1, n).T @ flat
-    grad["b"] += flat.sum(axis=0)
-    np.add.at(grad["emb"], x.reshape(-1), flat @ p["wx"].T)
+        if keep is not None:
+            dh *= keep[t]
+    before = np.stack([k[0] for k in kept]).reshape(-1, n)
+    grad["wh"] += before.T @ dgh.reshape(-1, 3 * n)
+    rows = dgx.reshape(-1, 3 * n)
+    grad["wx"] += emb.reshape(-1, n).T @ rows
+    grad["b"] += rows.sum(axis=0)
+    np.add.at(grad["emb"], x.reshape(-1), rows @ p["wx"].T)
     return float(-lp.mean()), h, grad
 
 
@@ -271,55 +293,80 @@ def numbers(model: Model, toks: list[bytes]) -> np.ndarray:
     return np.array([get(w, other) for w in toks], np.int32)
 
 
-def train_on(model: Model, segments: Iterable[np.ndarray]) -> tuple[dict, int, float]:
-    """Streams of segments in step; a segment's state is carried from window to window, gradients stop there."""
+def windows(s: Settings, texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, fresh, real), each (window, streams), of all texts: each stream goes on with its text from window to window.
+
+    fresh: places where a text, or a segment of a last one, begins; real: places that hold a token.
+    """
+    texts = iter(texts)
+    rest: list[np.ndarray] = [np.zeros(0, np.int32)] * s.train_streams
+    began = [True] * s.train_streams  # whether the rest begins a text
+
+    def window() -> tuple | None:
+        x = np.zeros((s.train_streams, s.window), np.int32)
+        fresh = np.zeros(x.shape, bool)
+        fill = [0] * s.train_streams
+        nonlocal dry
+        for j in range(s.train_streams):
+            at = 0
+            while at < s.window:
+                if not len(rest[j]):
+                    if dry:
+                        break
+                    following = next(texts, None)
+                    if following is None:
+                        dry = True
+                        break
+                    rest[j], began[j] = following, True
+                k = min(s.window - at, len(rest[j]))
+                x[j, at : at + k] = rest[j][:k]
+                fresh[j, at] |= began[j]
+                rest[j], began[j] = rest[j][k:], False
+                at += k
+            fill[j] = at
+        real = np.arange(s.window)[:, None] < np.array(fill)[None, :]
+        return (x.T, fresh.T, real) if real.any() else None
+
+    dry = dealt = False
+    while True:
+        if dry and not dealt and sum(1 for r in rest if len(r)) < s.train_streams // 4:
+            dealt = True
+            texts = iter([r[k : k + s.segment] for r in rest for k in range(0, len(r), s.segment)])
+            rest, dry = [np.zeros(0, np.int32)] * s.train_streams, False
+        got = window()
+        if got is None:
+            return
+        yield got
+
+
+def train_on(model: Model, texts: Iterable[np.ndarray]) -> tuple[dict, int, float]:
+    """The weights after all texts (numbers of their tokens, the end included), the number of tokens and their summed loss."""
     s = model.s
     p = {k: v.copy() for k, v in model.p.items()}
     adam, tokens, loss = Adam(p, s.rate), 0, 0.0
     rare = model.n_classes * s.per_class  # any other word's target
-    end = 0
-
-    def run(group: list[np.ndarray]) -> None:
-        nonlocal tokens, loss
-        n = min(map(len, group)) if len(group) > 1 else len(group[0])
-        x = np.stack([g[:n] for g in group], axis=1)
-        y = np.where(x >= len(model.words), rare, x)
-        shifted = np.vstack([np.full((1, x.shape[1]), end, np.int32), x[:-1]])
-        h = np.zeros((x.shape[1], s.hidden), _F)
-        for t in range(0, n, s.window):
-            part, h, grad = train_window(p, s, shifted[t : t + s.window], y[t : t + s.window], h)
-            adam.update(p, grad)
-            tokens += x[t : t + s.window].size
-            loss += part * x[t : t + s.window].size
-
-    waiting: dict[int, list] = {}
-    for g in segments:
-        group = waiting.setdefault(len(g), [])
-        group.append(g)
-        if len(group) == s.train_streams:
-            run(group)
-            group.clear()
-    for group in waiting.values():
-        if group:
-            run(group)
+    h, last = np.zeros((s.train_streams, s.hidden), _F), np.zeros(s.train_streams, np.int32)
+    for x, fresh, real in windows(s, texts):
+        before = np.where(fresh, 0, np.vstack([last[None], x[:-1]]))  # a text's first input is an end token
+        n = int(real.sum())
+        part, h, grad = train_window(p, s, before, np.where(x >= len(model.words), rare, x), h, fresh, real)
+        adam.update(p, grad)
+        last = x[-1]
+        tokens += n
+        loss += part * n
     return p, tokens, loss
 
 
-def _train(shared, round_: int):
+def _train(shared):
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        s = model.s
 
-        def segments() -> Iterator[np.ndarray]:
+        def texts() -> Iterator[np.ndarray]:
             for b in batches:
-                for crc, t in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
-                    toks = (t.as_py() or b"").lower().split() + [END]
-                    crc = crc.as_py()
-                    for k in range(0, len(toks), s.segment):
-                        if zlib.crc32(b"%d:%d" % (crc, k)) % s.thin == round_ % s.thin:
-                            yield numbers(model, toks[k : k + s.segment])
-
-        p, n, loss = train_on(model, segments())
+                for t in b.column(0).cast(pa.binary()):
+                    yield numbers(model, (t.as_py() or b"").lower().split() + [END])
+
+        p, n, loss = train_on(model, texts())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([pack(p)], pa.binary()), pa.array([n], pa.int64()), pa.array([loss])], ["weights", "n", "loss"])
 
@@ -350,7 +397,8 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", settings: Sett
     schema = "weights binary, n long, loss double"
     for r in range(s.rounds):
         shared = spark.sparkContext.broadcast(model)
-        trained = learning.mapInArrow(_train(shared, r), schema)
+        mine = learning.where(F.pmod(F.xxhash64("crc"), F.lit(s.rounds)) == r).select("text")
+        trained = mine.mapInArrow(_train(shared), schema)
         few = max(1, round(len(docs.inputFiles()) ** 0.5))
         averaged = trained.repartition(few).mapInArrow(_average, schema)
         if few > MOST_SETS:
