@@ -345,7 +345,9 @@ def test_page_blocks():
     assert page_text.blocks_of(odd)[0] == ["stays", "own"]
 
 
-def test_lcs_against_table():
+@pytest.mark.parametrize("table", [4, page_text.TABLE])
+def test_lcs_against_table(monkeypatch, table):
+    monkeypatch.setattr(page_text, "TABLE", table)
     r = random.Random(2)
     for _ in range(60):
         a, b = ([r.choice("abcde") for _ in range(r.randrange(0, 14))] for _ in range(2))
@@ -367,6 +369,61 @@ def test_pages_are_differenced(spark):
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_pages_against_brute_force(spark, parts):
+    """The whole query, however the table is split: neighbours in the order of host and path among different pages, copies, equal paths, odd rows."""
+    r = random.Random(12)
+    rows = []
+    for i in range(80):
+        host = r.choice(["a.com", "a.com", "A.com", "b.org", "c.net"])
+        lines = ["Menu of " + host.lower(), "Today", *(r.choice([f"own {i}.{k}", f"passage {r.randrange(5)}"]) for k in range(r.randrange(1, 6))), "Contact"]
+        body = "".join(f"<div>{x}</div>" for x in lines)
+        rows.append((i, f"https://{host}/{r.randrange(30)}?x={i}", f"<article>{body}</article>" if i % 10 == 0 else body))
+    rows += [(3, rows[3][1], rows[3][2]), (None, "https://b.org/1", rows[7][2]), (90, rows[5][1], rows[9][2]), (91, None, "<p>alone"), (92, "https://c.net/5", None), (93, "https://c.net/5", "<p>" + "word " * 50_000)]
+
+    def plain(page):
+        return [" ".join(x.split()) for x in re.sub(r"</?(article|div|p)>", "\n", page or "").split("\n") if x.strip()]
+
+    def place(url):
+        m = re.match(r"https://([^/]*)([^?]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def lcs(a, b):
+        """Places in a, chosen as the operator does among equally long ones: from the end, matches first, then the shorter a."""
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.add(i)
+            elif t[i - 1][j] >= t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    first = {}
+    for _, url, page in rows:
+        if page and "<article>" not in page:
+            host, path = place(url)
+            k = (host, tuple(plain(page)))
+            first[k] = min(first.get(k, path), path)
+    order = sorted((host, path, hashlib.blake2b("\n\n".join(b).encode(), digest_size=16).digest(), b) for (host, b), path in first.items())
+    want = {}
+    for i, (host, _, _, b) in enumerate(order):
+        gone = set()
+        for k in (i - 1, i + 1):
+            if 0 <= k < len(order) and order[k][0] == host:
+                gone |= lcs(b, order[k][3])
+        want[host, b] = "\n\n".join(x for j, x in enumerate(b) if j not in gone)
+    expected = Counter((k, url, "\n\n".join(plain(page)) if not page or "<article>" in page else want[place(url)[0], tuple(plain(page))]) for k, url, page in rows)
+    df = spark.createDataFrame([(*x, 1, "y", "z") for x in rows], "page_id long, url string, html string, n int, path string, text string").repartition(parts)
+    assert Counter((x["page_id"], x["url"], x["text"]) for x in page_text.extract(df).collect()) == expected
+
+
 # ---- 7
 
 
