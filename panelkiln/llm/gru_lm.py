@@ -29,6 +29,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ class Settings:
     segment: int = 128
     rounds: int = 2
     streams: int = 512
-    train_streams: int = 256
-    rate: float = 0.01
+    train_streams: int = 512
+    rate: float = 0.03
     chunk: int = 3_000_000
     folds: int = 7
     held: int = 2
@@ -120,6 +121,7 @@ class Model:
     def set_counts(self, end_count: int) -> None:
         s = self.s
         self.count[END] = end_count
+        self.index = {w: i for i, w in enumerate(self.count)}
         known = np.array([self.count.get(w, 0) for w in self.words], np.float64)
         self.rare_total = self.total - int(known.sum())
         self.rare_words = max(0, self.distinct - sum(1 for w in self.words if self.count.get(w, 0)))
@@ -140,7 +142,11 @@ class Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place where that can be: x is the caller's own sum."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,22 +188,29 @@ def output_logp(p: dict, s: Settings, h: np.ndarray, target: np.ndarray, grad: d
         grad["wc"] += h.T @ soft
         grad["bc"] += soft.sum(axis=0)
         dh = soft @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
+    # rows sorted by class: each class's are a slice
+    order = np.argsort(cls.astype(np.int16) if n_classes < 1 << 15 else cls, kind="stable")
     edges = np.searchsorted(cls[order], np.arange(n_classes + 1))
+    order = order[: edges[-1]]
+    hs, inner = h[order], target[order] % s.per_class
+    lp = np.empty(len(order), out.dtype)
+    dhs = None if grad is None else np.empty_like(hs)
     for c in np.nonzero(np.diff(edges))[0]:
-        at = order[edges[c] : edges[c + 1]]
-        hc = h[at]
+        at = slice(edges[c], edges[c + 1])
+        hc, y = hs[at], inner[at]
         logits = hc @ p["wo"][c] + p["bo"][c]
         if grad is None:
-            out[at] += _logp(logits, target[at] - c * s.per_class)
+            lp[at] = _logp(logits, y)
         else:
-            lp, soft = _softmax_loss(logits, target[at] - c * s.per_class)
-            out[at] += lp
-            soft[np.arange(len(at)), target[at] - c * s.per_class] -= 1
+            lp[at], soft = _softmax_loss(logits, y)
+            soft[np.arange(len(y)), y] -= 1
             soft /= len(cls)
             grad["wo"][c] += hc.T @ soft
             grad["bo"][c] += soft.sum(axis=0)
-            dh[at] += soft @ p["wo"][c].T
+            dhs[at] = soft @ p["wo"][c].T
+    out[order] += lp
+    if grad is not None:
+        dh[order] += dhs
     return out, dh
 
 
@@ -255,7 +268,8 @@ def train_window(p: dict, s: Settings, x: np.ndarray, y: np.ndarray, h: np.ndarr
     rows = dgx.reshape(-1, 3 * n)
     grad["wx"] += emb.reshape(-1, n).T @ rows
     grad["b"] += rows.sum(axis=0)
-    np.add.at(grad["emb"], x.reshape(-1), rows @ p["wx"].T)
+    de, at = p["wx"] @ rows.T, x.reshape(-1)
+    grad["emb"] = np.stack([np.bincount(at, weights=d, minlength=len(p["emb"])) for d in de], axis=1).astype(rows.dtype)
     return float(-lp.mean()), h, grad
 
 
@@ -475,8 +489,11 @@ def _score(shared):
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        words, get, count = len(model.words), model.number.get, model.count
-        log_of = {w: float(np.log10(c + 1)) for w, c in count.items()}.get
+        words, get, count = len(model.words), model.index.get, model.count
+        # by the head's own numbers, the last for words that are not in it
+        log_of = np.log10(np.append(np.array(list(count.values()), np.float64), 0.0) + 1)
+        number = np.append(np.array([model.number.get(w, words) for w in count], np.int32), np.int32(words))
+        none = len(count)
         rows: list = []
         seqs: list[np.ndarray] = []
         held = 0
@@ -502,14 +519,12 @@ def _score(shared):
             for row, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
                 toks = (t.as_py() or b"").lower().split()
                 toks.append(END)
-                num = np.array([get(w, words) for w in toks], np.int32)
-                lg = [log_of(w) for w in toks]
-                known = [x for x in lg if x is not None]
-                tail = Counter([w for w, x in zip(toks, lg, strict=True) if x is None]) if len(known) < len(toks) else {}
-                mid = [lg[i] for i in np.nonzero(num == words)[0].tolist() if lg[i] is not None]
-                n_rare = int((num == words).sum())
+                at = np.fromiter(map(get, toks, repeat(none)), np.int32, len(toks))
+                num, lg, rare = number[at], log_of[at], at == none
+                tail = Counter([toks[i] for i in np.nonzero(rare)[0].tolist()])
+                other = num == words
                 zero = model.count[END] == 0
-                rows.append((row, key, len(toks), len(known) - zero, sum(known), sum(mid) - n_rare * model.rare_norm, tail))
+                rows.append((row, key, len(toks), len(toks) - int(rare.sum()) - zero, float(lg.sum()), float(lg[other].sum()) - int(other.sum()) * model.rare_norm, tail))
                 seqs.append(num)
                 held += len(toks)
                 if held >= model.s.chunk:
