@@ -29,17 +29,24 @@ def local_front(v: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Survivors that may be sent to all tasks; with more of them the last comparison is a nested loop over both sides' partitions.
+FEW = 100_000
+
+
 def skyline(df: DataFrame, fitness: str = "fitness") -> DataFrame:
     """The rows of df whose fitness (an array of doubles, each to be maximised) no other dominates.
 
-    Each partition first keeps its own front, which loses nothing: what it drops is dominated by what it keeps. Only
-    the survivors meet in the anti join. NULL, NaN and empty arrays stay out of comparisons and are kept.
+    Each partition keeps its own front, which loses nothing: what it drops is dominated by what it keeps. Fronts are merged eight to one for as long as
+    that drops a tenth of them; if one partition is left, it holds the whole front, else the survivors, counted, meet in
+    an anti join. NULL, NaN and empty arrays stay out of comparisons and are kept.
     """
     schema = df.schema
 
     def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for b in batches:
-            values = b.column(b.schema.get_field_index(fitness)).to_pylist()
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            values = held.column(fitness).to_pylist()
             keep = np.ones(len(values), bool)
             by_size: dict[int, list[int]] = {}
             for i, x in enumerate(values):
@@ -47,11 +54,23 @@ def skyline(df: DataFrame, fitness: str = "fitness") -> DataFrame:
                     by_size.setdefault(len(x), []).append(i)
             for at in by_size.values():
                 keep[at] = local_front(np.array([values[i] for i in at], float))
-            yield b.filter(pa.array(keep))
-
-    thinned = df.mapInArrow(thin, schema)
-    other = thinned.select(F.col(fitness).alias("__other")).distinct()
-    return thinned.join(other, _dominates("__other", fitness), "left_anti")
+            held = held.filter(pa.array(keep))
+        if held is not None:
+            yield from held.to_batches()
+
+    front = df.mapInArrow(thin, schema).persist()
+    parts, n = front.rdd.getNumPartitions(), front.count()
+    while parts > 1 and n:
+        parts = -(-parts // 8)
+        merged = front.repartition(parts).mapInArrow(thin, schema).persist()
+        left = merged.count()
+        front.unpersist()
+        front = merged
+        if parts > 1 and left > 0.9 * n:
+            other = front.select(F.col(fitness).alias("__other")).distinct()
+            return front.join(F.broadcast(other) if left <= FEW else other, _dominates("__other", fitness), "left_anti")
+        n = left
+    return front
 
 
 def dominated_by(df: DataFrame, front: DataFrame, fitness: str = "fitness") -> DataFrame:
@@ -60,13 +79,20 @@ def dominated_by(df: DataFrame, front: DataFrame, fitness: str = "fitness") -> D
 
 
 def expansion(old: DataFrame, new: DataFrame, fitness: str = "fitness", signature: str = "panel_signature") -> dict:
-    """What a run's entries change on the front of the earlier ones: new_on_front, existing_dominated, net_added, and whether earlier runs saw the same panel."""
+    """What a run's entries change on the front of the earlier ones: new_on_front, existing_dominated and net_added; same_panel: no earlier entry has another
+    signature than the run's; usual_panel: the run has the one that most earlier entries have (ties: the smallest)."""
     before = skyline(old, fitness)
     together = skyline(old.select(fitness, F.lit(False).alias("new")).unionByName(new.select(fitness, F.lit(True).alias("new"))), fitness)
     added = together.where("new").count()
     lost = dominated_by(before, new, fitness).count()
-    prior = old.select(signature).distinct().join(new.select(signature).distinct(), signature, "left_anti").count() if signature in old.columns else 0
-    return {"new_on_front": added, "existing_dominated": lost, "net_added": added - lost, "same_panel": prior == 0}
+    same, usual = True, True
+    if signature in old.columns:
+        own = {r[0] for r in new.select(signature).distinct().limit(2).collect()}
+        counts = old.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.count("*").alias("n"))
+        same = counts.join(new.select(signature).distinct(), signature, "left_anti").limit(1).count() == 0
+        mode = counts.orderBy(F.desc("n"), signature).limit(1).collect()
+        usual = not mode or own == {mode[0][0]}
+    return {"new_on_front": added, "existing_dominated": lost, "net_added": added - lost, "same_panel": same, "usual_panel": usual}
 
 
 def markdown(rows: Sequence, title: str = "Frontier") -> str:

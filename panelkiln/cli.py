@@ -12,13 +12,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.analysis import frontier, reports
-from panelkiln.explain.card import Canned
+from panelkiln.explain.card import Canned, Client
+from panelkiln.explain.client import live
 from panelkiln.explain.runner import explain
 from panelkiln.functions import splits, stats
 from panelkiln.knowledge.corpus import read_corpus
 from panelkiln.knowledge.retriever import Retriever
 from panelkiln.plans.compiler import evaluate
 from panelkiln.plans.tree import parse, to_text
+from panelkiln.search.coach import ModelCoach
 from panelkiln.search.fitness import Fitness
 from panelkiln.search.loop import Config, search
 from panelkiln.search.primitives import Primitives
@@ -34,6 +36,14 @@ def _registry(a) -> Registry:
     return read_registry(a.registry) if a.registry else default_registry()
 
 
+def _client(a) -> Client:
+    """The service that the environment names, or the reply kept in a file."""
+    if not a.reply:
+        return live()
+    with open(a.reply, encoding="utf-8") as f:
+        return Canned([f.read()])
+
+
 def registry_list(a, spark):
     for source, n in sorted(_registry(a).source_counts().items(), key=lambda x: -x[1]):
         print(f"{n:5d}  {source}")
@@ -61,9 +71,10 @@ def search_(a, spark):
     if a.industry:
         wide = wide.where(F.col("industry") == a.industry)
     config = Config(size=a.size, generations=a.generations, seed=a.seed)
-    fitness = Fitness(wide, registry)
+    baselines = [registry.resolve(b).id for b in a.baselines]
+    fitness = Fitness(wide, registry, across_splits=a.across_splits, baselines=baselines)
     try:
-        result = search(fitness, Primitives(registry, ids), config, label=a.label, industry=a.industry)
+        result = search(fitness, Primitives(registry, ids), config, ModelCoach(_client(a)) if a.coach or a.reply else None, label=a.label, industry=a.industry)
     finally:
         fitness.close()
     for x in result.front[: a.topk]:
@@ -75,9 +86,7 @@ def search_(a, spark):
 
 
 def explain_(a, spark):
-    with open(a.reply, encoding="utf-8") as f:
-        client = Canned([f.read()])
-    e = explain(panel.read_long(spark, a.panel), spark.read.parquet(a.labels), a.expr, a.label, _registry(a), client)
+    e = explain(panel.read_long(spark, a.panel), spark.read.parquet(a.labels), a.expr, a.label, _registry(a), _client(a))
     print(runs.save_card(a.out, parse(a.expr), e, a.label, a.industry))
     print("\n".join(e.warnings))
 
@@ -92,20 +101,15 @@ def frontier_(a, spark):
     print(frontier.markdown(rows))
 
 
-def _reply(a) -> Canned:
-    with open(a.reply, encoding="utf-8") as f:
-        return Canned([f.read()])
-
-
 def report_(a, spark):
     known = [r.asDict() for r in ledger.read(spark, a.ledger).select("run_id", "label", "industry", "seed", "timestamp").collect()] if a.ledger else []
-    print(reports.report_markdown(reports.report([runs.load_card(c) for c in a.cards], known, _reply(a))))
+    print(reports.report_markdown(reports.report([runs.load_card(c) for c in a.cards], known, _client(a))))
 
 
 def suspect(a, spark):
     cards = [runs.load_card(c) for c in a.cards]
     retriever = Retriever(read_corpus(spark, a.corpus)) if a.corpus else None
-    print(reports.suspicion_markdown(reports.suspicion(cards, _reply(a), retriever, spark), [e.card.metric_name_cn for e, _, _ in cards]))
+    print(reports.suspicion_markdown(reports.suspicion(cards, _client(a), retriever, spark), [e.card.metric_name_cn for e, _, _ in cards]))
 
 
 def knowledge_build(a, spark):
@@ -136,12 +140,12 @@ def parser() -> argparse.ArgumentParser:
     command("registry-list", registry_list)
     command("gen-synthetic", gen_synthetic, ("--out", need), ("--entities", number(500)), ("--months", number(24)), ("--seed", number(42)))
     command("eval", eval_, ("--expr", need), *data, ("--lag", number(0)), ("--split", {"default": "all", "choices": ["all", "train", "valid", "oot"]}))
-    command("search", search_, *data, ("--industry", text), ("--size", number(60)), ("--generations", number(15)), ("--seed", number(0)), ("--topk", number(10)), ("--out", text), ("--ledger", text))
-    command("explain", explain_, ("--expr", need), *data, ("--industry", text), ("--reply", need), ("--out", need))
+    command("search", search_, *data, ("--industry", text), ("--size", number(60)), ("--generations", number(15)), ("--seed", number(0)), ("--topk", number(10)), ("--out", text), ("--ledger", text), ("--baselines", {"nargs": "*", "default": []}), ("--across-splits", {"action": "store_true"}), ("--coach", {"action": "store_true"}), ("--reply", text))
+    command("explain", explain_, ("--expr", need), *data, ("--industry", text), ("--reply", text), ("--out", need))
     command("ledger-list", ledger_list, ("--ledger", need), ("--industry", text), ("--label", text), ("--since", text))
     command("frontier", frontier_, ("--ledger", need), ("--industry", text), ("--label", text))
-    command("report", report_, ("--cards", {"nargs": "+", "required": True}), ("--ledger", text), ("--reply", need))
-    command("suspect", suspect, ("--cards", {"nargs": "+", "required": True}), ("--corpus", text), ("--reply", need))
+    command("report", report_, ("--cards", {"nargs": "+", "required": True}), ("--ledger", text), ("--reply", text))
+    command("suspect", suspect, ("--cards", {"nargs": "+", "required": True}), ("--corpus", text), ("--reply", text))
     command("knowledge-build", knowledge_build, ("--corpus", need))
     command("knowledge-query", knowledge_query, ("--corpus", need), ("--text", need), ("--industry", text), ("--topk", number(5)))
     return p

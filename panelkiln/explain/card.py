@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Protocol
 
+# The card's limits.
 NAME_CHARS, CHECKS = 15, 10
 
 

@@ -18,15 +18,11 @@ TOLERANCE = 0.1
 def unknown_fields(card: Card, tree: Node, registry: Registry) -> list[str]:
     """Metrics that the card mentions and the rule doesn't have: those it declares, or else those found in its prose, longer names before names they contain."""
     own = {registry.resolve(n).name for n in field_names(tree)} | set(field_names(tree))
-    if card.referenced_fields:
-        return [n for n in card.referenced_fields if n not in own]
-    prose, found = card.business_explanation, []
-    for name in registry.names_longest_first():
-        if name in prose:
-            prose = prose.replace(name, "\0" * len(name))
-            if name not in own:
-                found.append(name)
-    return found
+    mentioned = card.referenced_fields
+    if not mentioned:
+        any_name = "|".join(map(re.escape, registry.names_longest_first()))  # the first alternative that fits is the longest
+        mentioned = dict.fromkeys(re.findall(any_name, card.business_explanation)) if any_name else ()
+    return [n for n in mentioned if n not in own]
 
 
 def wrong_direction(card: Card, tree: Node) -> list[str]:
@@ -42,9 +38,13 @@ def wrong_direction(card: Card, tree: Node) -> list[str]:
 
 def wrong_figures(card: Card, iv: float, ks: float) -> list[str]:
     """IV and KS as quoted, where they are off by more than a tenth."""
-    text = f"{card.business_explanation} {card.diff_vs_existing}"
-    real = {"IV": iv, "KS": ks}
-    return [f"{name} {said}, measured {real[name]:.3f}" for name, said in re.findall(r"(IV|KS)[^0-9]{0,3}(\d+\.\d+)", text) if real[name] and abs(float(said) - real[name]) > TOLERANCE * abs(real[name])]
+    measured = {"IV": iv, "KS": ks}
+    out = []
+    for m in re.finditer(r"(?P<name>IV|KS)\D{0,3}(?P<said>\d+\.\d+)", f"{card.business_explanation} {card.diff_vs_existing}"):
+        real, said = measured[m["name"]], float(m["said"])
+        if real and abs(said / real - 1) > TOLERANCE:
+            out.append(f"{m['name']} {m['said']}, measured {real:.3f}")
+    return out
 
 
 def warnings(card: Card, tree: Node, registry: Registry, iv: float, ks: float) -> list[str]:

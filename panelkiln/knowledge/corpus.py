@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rewrites that leave plain text, in their order: pattern and what stays.
+#: Rewrites that leave plain text, in their order: pattern and what stays.
 REWRITES = (
     ("\\A---[ \\t]*\\n(?s:.*?)\\n---[ \\t]*\\n", ""),
     ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"),

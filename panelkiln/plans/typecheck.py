@@ -12,6 +12,7 @@ from .types import AMOUNT, COUNT, Kind, fits, kind_of_literal
 
 MAX_DEPTH, MAX_LEAVES = 5, 8
 #: Operators that must not bring an amount and a count, taken as they are, together.
+# Operators whose arguments share a dimension.
 SAME_DIMENSION = ("Ratio", "Add", "Subtract", "Multiply", "Min", "Max", "Gt2", "Lt2")
 
 

@@ -6,16 +6,14 @@ decimals, so that the order of summation shows nowhere).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkiln.analysis import frontier
 from panelkiln.functions import splits, stats
 from panelkiln.knowledge import corpus, retriever
 from panelkiln.operators import Frame
-from panelkiln.plans import tree
 from panelkiln.plans.compiler import evaluate, evaluate_wide
-from panelkiln.search import fitness
 from panelkiln.sources import labels, panel
 from panelkiln.sources.registry import Metric, Registry
 
@@ -322,21 +320,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3"""
 
 
-def gp_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six objectives of some candidate rules, evaluated in one batch."""
-    rules = ["(GT (PctChange returns 1) 0.3)", "(LT (ZScore price 6) -0.5)", "(AND (GT (PeerRank price) 0.5) (GT returns 1))", "(GT (TsRank returns 6) 0.9)"]
-    w = wide_panel(spark, sf_dir)
-    nxt = F.lead("M5").over(Window.partitionBy("entity_id").orderBy("observation_date"))
-    f = fitness.Fitness(w.withColumn("label", (nxt > 2).cast("int")).where("label IS NOT NULL"), METRICS)
-    try:
-        got = f.of([tree.parse(r) for r in rules])
-    finally:
-        f.close()
-    return spark.createDataFrame([(r, *map(float, x)) for r, x in zip(rules, got, strict=True)], "rule string, " + ", ".join(f"{o} double" for o in fitness.OBJECTIVES))
-
-
 QUERIES = {name: _expression(text, digits) for name, (text, _, digits) in EXPRESSIONS.items()}
-QUERIES |= {f.__name__: f for f in (panel_pivot, panel_duplicates, expression_long, labels_range_join, label_join, time_split, lag_features, score, score_by_language, psi_kl, wasserstein, spearman, monotonicity, skyline, md_strip, chunk, tfidf_topk, gp_fitness)}
+QUERIES |= {f.__name__: f for f in (panel_pivot, panel_duplicates, expression_long, labels_range_join, label_join, time_split, lag_features, score, score_by_language, psi_kl, wasserstein, spearman, monotonicity, skyline, md_strip, chunk, tfidf_topk)}
 ORACLES = {name: _expression_sql(sql, digits) for name, (_, sql, digits) in EXPRESSIONS.items() if sql}
 ORACLES |= {
     "nested_windows": f"WITH {_WIDE}, d AS (SELECT *, M1 - {_lag('M1', 1)} AS x FROM w) SELECT entity_id, observation_date, industry, round(avg(x) OVER {_trail(3)}, 4) AS value FROM d",

@@ -34,8 +34,8 @@ def build_labels(events: DataFrame, dates: DataFrame, labels: Sequence[Label] =
     """entity_id, observation_date, label_name, label_value (0/1): 1 if an event falls into (date, date + days].
 
     The grid has every entity with an event (or those given) on every date. The date of the next event after each grid date
-    decides every horizon, so there is no range join: grid rows and events are sorted together by entity and date, and the
-    next event is a running minimum from behind. One shuffle by entity serves all labels.
+    decides every horizon, so there is no range join: grid rows and events are sorted together by entity, latest date first, and the
+    next event is a running minimum, which goes on from row to row. One shuffle by entity serves all labels.
 
     dates: one column, observation_date; a calendar, whose length doesn't grow with the entities.
     """
@@ -45,7 +45,7 @@ def build_labels(events: DataFrame, dates: DataFrame, labels: Sequence[Label] =
     kinds = [F.col("event_type").isin(*x.events).alias(f"is{k}") for k, x in enumerate(labels)]
     log = events.select("entity_id", F.col("event_date").cast("date").alias("at"), F.lit(False).alias("grid"), *kinds)
     both = grid.select("entity_id", "at", F.lit(True).alias("grid"), *[F.lit(False).alias(f"is{k}") for k in range(len(labels))]).unionByName(log)
-    later = Window.partitionBy("entity_id").orderBy(F.datediff("at", F.lit("1970-01-01").cast("date"))).rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("entity_id").orderBy(F.datediff("at", F.lit("1970-01-01").cast("date")).desc()).rangeBetween(Window.unboundedPreceding, -1)
     found = [F.min(F.when(F.col(f"is{k}"), F.col("at"))).over(later).alias(f"next{k}") for k in range(len(labels))]
     rows = both.select("entity_id", "at", "grid", *found).where("grid")
     each = F.array(*[

@@ -76,6 +76,7 @@ def read(spark: SparkSession, path: str, industry: str | None = None, label: str
 
 
 def latest(spark: SparkSession, path: str, n: int, **where) -> DataFrame:
+    """The n latest runs by their own timestamps; a file's time would change with every copy of the ledger."""
     return read(spark, path, **where).limit(n)
 
 

@@ -266,6 +266,8 @@ def test_command_line(spark, data, tmp_path, capsys, monkeypatch):
     out = capsys.readouterr().out
     assert "财务" in out and json.loads(out.strip().splitlines()[-1])["n"] > 0
     cli.main(["search", *common, "--size", "6", "--generations", "1", "--out", str(tmp_path / "runs"), "--ledger", str(tmp_path / "ledger")])
+    (tmp_path / "rules.json").write_text('{"rules": ["(GT (PctChange 营业收入 3) 0.1)"]}', encoding="utf-8")
+    cli.main(["search", *common, "--size", "4", "--generations", "1", "--across-splits", "--baselines", "营业收入", "--reply", str(tmp_path / "rules.json")])
     cli.main(["ledger-list", "--ledger", str(tmp_path / "ledger")])
     cli.main(["frontier", "--ledger", str(tmp_path / "ledger")])
     out = capsys.readouterr().out
@@ -295,3 +297,44 @@ def test_model_coach_reads_what_it_can():
     c = coach.ModelCoach(card.Canned(['{"rules": ["(GT 营业收入 1.0)", "(Nope", 3]}', '{"scores": [7]}', "?", '{"scores": [0.1, 0.2]}']))
     assert c.seeds("Y", None, [], [], 5) == [rule] and c.critique([rule]) == [1.0]
     assert c.cross_source({}, [], [], 5) == [] and c.critique([rule]) == [0.5] and coach.ModelCoach(None).critique([rule]) == [0.5]
+
+
+def test_fronts_are_merged_over_partitions(spark):
+    """Against comparing all with all, however many partitions there are; NULL, NaN and other lengths stay."""
+    rng = np.random.default_rng(4)
+    points = [[float(x) for x in rng.integers(0, 12, 3)] for _ in range(400)] + [None, [1.0, float("nan"), 2.0], [], [3.0]]
+    best = [p for p in points if not p or len(p) != 3 or any(x != x for x in p) or not any(q and len(q) == 3 and nsga.dominates(q, p) for q in points if q and not any(x != x for x in q))]
+    for parts in (1, 5, 40):
+        got = frontier.skyline(spark.createDataFrame([(i, p) for i, p in enumerate(points)], "i int, fitness array<double>").repartition(parts)).collect()
+        assert sorted(str(r["fitness"]) for r in got) == sorted(map(str, best))
+
+
+def test_chat_client(monkeypatch):
+    """The request it makes, what it takes for an answer, and which failures it tries again."""
+    import io
+    import json
+    import urllib.error
+
+    from panelkiln.explain import client
+    from panelkiln.explain.card import Retrying
+
+    asked, replies = [], [urllib.error.HTTPError("u", 429, "slow down", {}, None), urllib.error.URLError("gone"), io.BytesIO(b'{"choices": [{"message": {"content": "yes"}}]}')]
+
+    def urlopen(request, timeout):
+        asked.append((request.full_url, json.loads(request.data), request.get_header("Authorization")))
+        reply = replies.pop(0)
+        if isinstance(reply, Exception):
+            raise reply
+        return reply
+
+    monkeypatch.setattr(client.urllib.request, "urlopen", urlopen)
+    monkeypatch.setenv("PANELKILN_LLM_MODEL", "m")
+    waits = []
+    got = Retrying(client.ChatClient(url="http://x/v1/", key="k"), sleep=waits.append).complete("s", "u", 7)
+    assert got == "yes" and waits == [1.0, 2.0] and len(asked) == 3
+    assert asked[0][0] == "http://x/v1/chat/completions" and asked[0][1]["messages"][1] == {"role": "user", "content": "u"} and asked[0][1]["max_tokens"] == 7 and asked[0][2] == "Bearer k"
+    replies.append(urllib.error.HTTPError("u", 401, "no", {}, None))
+    with pytest.raises(urllib.error.HTTPError):
+        Retrying(client.ChatClient(url="http://x", key="k"), sleep=waits.append).complete("s", "u")
+    with pytest.raises(ValueError):
+        client.ChatClient().complete("s", "u")
