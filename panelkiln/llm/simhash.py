@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, keyed, written
-from .line_dedup import FEW, ORDERS, PLANE, hub_pairs, hub_rows, other_pairs
+from .line_dedup import FEW, ORDERS, PLANE, hub_pairs, hub_rows, labels, other_pairs, still_apart, with_roots
 
 SEED = 42
 SHINGLE = 3
@@ -279,25 +279,20 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     reps = checkpoint(signed.groupBy("same").agg(F.min("id").alias("rep")))
     one = signed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     places, rows = signed.select("id", "__row"), rows.select("__row", "text")
-    # by the fingerprints: each text with its class's smallest
+    # by the fingerprints: each text with the first that has its own, and those with the ones the index links them to
     prints = checkpoint(one.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(linked(prints.select("fp")), "a", "b")
-    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
-    tops = rooted.join(rooted.groupBy("class").agg(F.min("first").alias("top")), "class").select("fp", "top")
-    by_print = one.select("id", "fp").join(tops, "fp").where("id != top").select(F.col("top").alias("a"), F.col("id").alias("b"))
+    side = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    by_print = one.join(prints, "fp").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    by_index = linked(prints.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # by MinHash: each text with its blocks' smallest, then those still apart
     active = written(hub_rows(one.select("id", "size", "blocks")), "active")
     hubs = checkpoint(hub_pairs(active, least))
     check = lambda pairs: checkpoint(verified(pairs, places, rows, least, n))
-    stars = checkpoint(components(check(hubs.where("best").select("a", "b").union(by_print).distinct()), "a", "b"))
-    roots = lambda key, root: stars.select(F.col("node").alias(key), F.col("root").alias(root))
-    edges = lambda more: stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    apart = hubs.where("not best").join(roots("a", "ra"), "a", "left").join(roots("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    found = check(apart.select("a", "b"))
-    stars = checkpoint(components(edges(found), "a", "b"))
-    joined = active.join(roots("id", "root"), "id", "left").join(roots("hub", "top"), "hub", "left")
-    joined = checkpoint(joined.select("block", "id", "size", F.coalesce("root", "id").alias("root"), F.coalesce("top", "hub").alias("top")))
-    found = components(edges(check(other_pairs(joined, least))), "a", "b")
+    found = check(hubs.where("best").select("a", "b").union(by_print).union(by_index).distinct())
+    more = check(still_apart(hubs.where("not best").select("a", "b"), labels(found)))
+    stars = checkpoint(components(found.union(more), "a", "b"))
+    last = check(other_pairs(checkpoint(with_roots(active, stars)), least))
+    found = components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(last), "a", "b")
     members = signed.select("id", "__row", "doc_id", "same").join(reps, "same").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "__row")).alias("first")
     kept = members.groupBy(F.coalesce("root", "rep").alias("class")).agg(first).select("first.__row")
