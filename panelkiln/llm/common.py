@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,12 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffles and broadcasts that nothing refers to any more: Spark deletes them once the driver's garbage collector has seen that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key() -> Column:
     """Tells rows apart within one scan, repeated ones too. Another scan may number them differently: see `keyed`."""
     return F.monotonically_increasing_id()
@@ -134,5 +141,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == seen:
             break
         seen = now
+    tidy(edges.sparkSession)
     roots = e.select(v.alias("node"), v.alias("root")).distinct()
     return e.select(u.alias("node"), v.alias("root")).union(roots)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, keyed, written
+from .common import checkpoint, components, keyed, tidy, written
 from .line_dedup import FEW, ORDERS, PLANE, hub_pairs, hub_rows, labels, other_pairs, still_apart, with_roots
 
 SEED = 42
@@ -287,6 +287,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     # by MinHash: each text with its blocks' smallest, then those still apart
     active = written(hub_rows(one.select("id", "size", "blocks")), "active")
     hubs = checkpoint(hub_pairs(active, least))
+    tidy(docs.sparkSession)
     check = lambda pairs: checkpoint(verified(pairs, places, rows, least, n))
     found = check(hubs.where("best").select("a", "b").union(by_print).union(by_index).distinct())
     more = check(still_apart(hubs.where("not best").select("a", "b"), labels(found)))
