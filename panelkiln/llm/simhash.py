@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, keyed, tidy, written
-from .line_dedup import FEW, ORDERS, PLANE, hub_pairs, hub_rows, labels, other_pairs, still_apart, with_roots
+from .line_dedup import FEW, ORDERS, PLANE, hub_pairs, hub_rows, merged, other_pairs, still_apart, with_roots
 
 SEED = 42
 SHINGLE = 3
@@ -290,10 +290,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     tidy(docs.sparkSession)
     check = lambda pairs: checkpoint(verified(pairs, places, rows, least, n))
     found = check(hubs.where("best").select("a", "b").union(by_print).union(by_index).distinct())
-    more = check(still_apart(hubs.where("not best").select("a", "b"), labels(found)))
-    stars = checkpoint(components(found.union(more), "a", "b"))
-    last = check(other_pairs(checkpoint(with_roots(active, stars)), least))
-    found = components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(last), "a", "b")
+    stars = checkpoint(components(found, "a", "b"))
+    more = check(still_apart(hubs.where("not best").select("a", "b"), stars))
+    last = check(other_pairs(checkpoint(with_roots(active, merged(stars, more))), least))
+    found = components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(last), "a", "b")
     members = signed.select("id", "__row", "doc_id", "same").join(reps, "same").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "__row")).alias("first")
     kept = members.groupBy(F.coalesce("root", "rep").alias("class")).agg(first).select("first.__row")
