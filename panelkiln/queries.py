@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelkiln.analysis import frontier
 from panelkiln.functions import splits, stats
+from panelkiln.functions.columns import rounded
 from panelkiln.knowledge import corpus, retriever
 from panelkiln.operators import Frame
 from panelkiln.plans.compiler import evaluate, evaluate_wide
@@ -36,11 +37,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by month, one column a metric: aggregated before the suppliers are joined, the line items once."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.last_day("l_shipdate").alias("observation_date")).agg(*[F.expr(s).cast("double").alias(m) for m, (s, _) in _SUMS.items()])
+    """Suppliers by month, one column a metric: aggregated before the suppliers are joined, the line items once. A supplier that is there n times counts n times, as in a join of the lines."""
+    lines = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.last_day("l_shipdate").alias("observation_date")).agg(*[F.expr(s).alias(m) for m, (s, _) in _SUMS.items()])
     where = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    where = where.groupBy("s_suppkey", "r_name").agg(F.count("*").alias("times"))
     df = lines.join(where, F.col("l_suppkey") == F.col("s_suppkey"))
-    return df.select(F.col("l_suppkey").cast("string").alias("entity_id"), "observation_date", F.col("r_name").alias("industry"), *_SUMS)
+    return df.select(F.col("l_suppkey").cast("string").alias("entity_id"), "observation_date", F.col("r_name").alias("industry"), *[(F.col(m) * F.col("times")).cast("double").alias(m) for m in _SUMS])
 
 
 def long_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,7 @@ EXPRESSIONS = {
 def _expression(text: str, digits: int | None):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = evaluate_wide(wide_panel(spark, sf_dir), {"value": text}, METRICS, Frame())
-        return df if digits is None else df.withColumn("value", F.round("value", digits))
+        return df if digits is None else df.withColumn("value", rounded(F.col("value"), digits))
 
     return query
 
@@ -126,7 +128,7 @@ def panel_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expression_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the long panel: type check, pruning, duplicate check, pivot, compilation."""
     df = evaluate(long_panel(spark, sf_dir), "(Ratio (Delta price 1) (Mean price 12))", METRICS)
-    return df.withColumn("value", F.round("value", 6))
+    return df.withColumn("value", rounded(F.col("value"), 6))
 
 
 HORIZONS = (labels.Label("error_1d", 1, ("error",)), labels.Label("error_3d", 3, ("error",)), labels.Label("buy_2d", 2, ("purchase", "signup")))
@@ -189,7 +191,7 @@ _BIN = "len(list_filter(e[2:len(e) - 1], lambda x: x <= v))"
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """iv, ks, gini, n, n_pos, trigger of the length of documents against quality."""
     out = stats.score(_labelled(spark, sf_dir), "n_chars", "quality")
-    return out.select("n", "n_pos", *[F.round(c, 6).alias(c) for c in ("iv", "ks", "gini")], F.col("trigger").cast("double").alias("trigger"))
+    return out.select("n", "n_pos", *[rounded(F.col(c), 6).alias(c) for c in ("iv", "ks", "gini")], F.col("trigger").cast("double").alias("trigger"))
 
 
 SCORE_SQL = f"""WITH {_LABELLED}, {_sql_bins(10)},
@@ -206,7 +208,7 @@ def score_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, a sample for each language in one job; 0/1 values (long or not), so two bins."""
     rows = _labelled(spark, sf_dir).withColumn("long", (F.col("n_chars") > 1500).cast("int"))
     out = stats.score(rows, "long", "quality", by=["lang"])
-    return out.select("lang", "n", "n_pos", *[F.round(c, 6).alias(c) for c in ("iv", "ks", "gini", "trigger")])
+    return out.select("lang", "n", "n_pos", *[rounded(F.col(c), 6).alias(c) for c in ("iv", "ks", "gini", "trigger")])
 
 
 SCORE_BY_SQL = f"""WITH {_LABELLED}, x AS (SELECT lang, (v > 1500)::INT AS v, y FROM r),
@@ -224,7 +226,7 @@ def _two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psi_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.divergence(_two_sides(spark, sf_dir), "v", "side").select(F.round("psi", 6).alias("psi"), F.round("kl", 6).alias("kl"), "n_expected", "n_actual")
+    return stats.divergence(_two_sides(spark, sf_dir), "v", "side").select(rounded(F.col("psi"), 6).alias("psi"), rounded(F.col("kl"), 6).alias("kl"), "n_expected", "n_actual")
 
 
 PSI_SQL = f"""WITH x AS (SELECT n_chars::DOUBLE AS v, lang FROM documents WHERE lang = 'en'), a AS (SELECT n_chars::DOUBLE AS v FROM documents WHERE lang = 'de'),
@@ -235,7 +237,7 @@ SELECT round(sum((p - q) * ln(p / q)), 6) AS psi, round(sum(p * ln(p / q)), 6) A
 
 
 def wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.wasserstein(_two_sides(spark, sf_dir), "v", "side").select(F.round("wasserstein", 4).alias("wasserstein"))
+    return stats.wasserstein(_two_sides(spark, sf_dir), "v", "side").select(rounded(F.col("wasserstein"), 4).alias("wasserstein"))
 
 
 WASSERSTEIN_SQL = """WITH x AS (SELECT n_chars::DOUBLE AS v, count(*) FILTER (lang = 'en') AS e, count(*) FILTER (lang = 'de') AS a FROM documents WHERE lang IN ('en', 'de') GROUP BY 1),
@@ -244,7 +246,7 @@ SELECT round(sum(gap * abs(d)), 4) AS wasserstein FROM c"""
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.spearman(wide_panel(spark, sf_dir), "M1", "M5", by=["industry"]).select("industry", F.round("spearman", 6).alias("spearman"), "n")
+    return stats.spearman(wide_panel(spark, sf_dir), "M1", "M5", by=["industry"]).select("industry", rounded(F.col("spearman"), 6).alias("spearman"), "n")
 
 
 SPEARMAN_SQL = f"""WITH {_WIDE}, k AS (SELECT industry, rank() OVER (PARTITION BY industry ORDER BY M1) + (count(*) OVER (PARTITION BY industry, M1) - 1) / 2 AS a,
@@ -254,7 +256,7 @@ SELECT industry, round(corr(a, b), 6) AS spearman, count(*) AS n FROM k GROUP BY
 
 def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = wide_panel(spark, sf_dir).withColumn("y", (F.col("M5") > 2).cast("int"))
-    return stats.monotonicity(w, "M1", "y", by=["industry"]).select("industry", F.round("monotonicity", 6).alias("monotonicity"))
+    return stats.monotonicity(w, "M1", "y", by=["industry"]).select("industry", rounded(F.col("monotonicity"), 6).alias("monotonicity"))
 
 
 MONOTONICITY_SQL = f"""WITH {_WIDE}, q AS (SELECT industry, list_sort(list_distinct(quantile_cont(M1, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM w GROUP BY industry),
@@ -265,7 +267,7 @@ SELECT industry, CASE WHEN count(*) < 5 OR stddev_pop(b) = 0 THEN 0 ELSE round(a
 def skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that none beats in revenue, in few returns and in tax at once."""
     w = wide_panel(spark, sf_dir).groupBy("entity_id").agg(F.sum("M1").alias("a"), (-F.sum("M5")).alias("b"), F.sum("M6").alias("c"))
-    rows = w.select("entity_id", F.array(F.round("a", 2), "b", F.round("c", 2)).alias("fitness"))
+    rows = w.select("entity_id", F.array(rounded(F.col("a"), 2), "b", rounded(F.col("c"), 2)).alias("fitness"))
     front = frontier.skyline(rows)
     return front.select("entity_id", *[F.element_at("fitness", k + 1).alias(c) for k, c in enumerate("abc")])
 
@@ -304,7 +306,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark item."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("industry"))
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retriever.Retriever(docs).query(items, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return retriever.Retriever(docs).query(items, 3).select("query_id", "chunk_id", rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 TFIDF_SQL = """WITH d AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),

@@ -4,12 +4,14 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelkiln import queries
 from panelkiln.functions import relations, splits, stats
 from panelkiln.operators import REGISTRY, Frame, operator
 from panelkiln.plans import tree
@@ -68,6 +70,21 @@ def test_windows(spark, text, x, want):
     same(value(series(spark, A=x), text), want)
 
 
+def test_pct_change_rounds_and_counts_as_its_sql(spark, tmp_path):
+    """Ties of the sixth decimal (-333/640), and a supplier that is there twice."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE region AS SELECT 0 AS r_regionkey, 'R' AS r_name; CREATE TABLE nation AS SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey")
+    con.execute("CREATE TABLE supplier AS SELECT unnest([1, 2, 2])::BIGINT AS s_suppkey, 0 AS s_nationkey")
+    con.execute("CREATE TABLE n AS SELECT unnest([640, 307, 640, 1281, 640, 963]) AS n, unnest(range(1, 7)) AS month")
+    con.execute("""CREATE TABLE lineitem AS SELECT s.k AS l_suppkey, make_timestamp(2024, month, 3, 0, 0, 0) AS l_shipdate, 1.5::DOUBLE AS l_extendedprice, 2.0::DOUBLE AS l_quantity, 0.1::DOUBLE AS l_discount, 0.2::DOUBLE AS l_tax, 'R' AS l_returnflag
+        FROM n, range(n) AS r(i), (VALUES (1::BIGINT), (2)) AS s(k)""")
+    for t in ("region", "nation", "supplier", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    for q in ("pct_change", "add", "panel_pivot"):
+        got = sorted(map(tuple, queries.QUERIES[q](spark, str(tmp_path)).collect()), key=str)
+        assert got == sorted(con.execute(queries.ORACLES[q]).fetchall(), key=str)
+
+
 def test_entities_and_splits_keep_apart(spark):
     df = series(spark, A=[1, 2]).union(series(spark, A=[100, 200]).withColumn("entity_id", F.lit("Z")))
     same(value(df, "(Delta amt 1)"), [None, 1, None, 100])
