@@ -11,7 +11,8 @@
 3. Each line is paired with the one line that is first in most of its blocks; then, if not in one group with it yet, with the first of each
    block; then lines of a block that are not in one group yet with each other.
 4. Pairs stand if the edit similarity of the normalised lines, 1 - distance / longer length, is at least 0.8. Texts are
-   compared part by part, which may find a larger distance, never a smaller one; up to 1000 characters the whole distance decides where that is no more than half too much.
+   compared part by part first, which may find a larger distance, never a smaller one, and settles most similar pairs; where it finds too much,
+   the whole distance decides, whatever the length.
 5. Of each connected group one line stays, at its first place; the texts are put together from what is left.
 
 No line's text is shuffled but of lines that have a candidate, and the documents once at the end.
@@ -36,8 +37,6 @@ _GAP = "[^\\p{L}\\p{M}\\p{N}]+"
 _EDGE = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
 #: Characters between two marks, and of a mark: see `distance_by_parts`.
 PART, MARK = 100, 16
-#: Characters up to which a pair that is a little too far apart by parts is compared as a whole.
-WHOLE = 1000
 #: Of the 16 first words, those that a pair must have in common.
 AGREE = 7
 #: A place as one number: file (62 bits), then row in the file and position in the text in a long.
@@ -231,11 +230,12 @@ def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, text: str, si
     both = pairs.join(one, "a").join(two, "b").withColumn("most", most).where(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
 
     def near(d: Column) -> Column:
-        whole = (F.greatest(F.length("x"), F.length("y")) <= WHOLE) & (F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0)
-        return (d <= F.col("most")) | ((d <= F.col("most") * 1.5) & whole)
+        # one part is the whole text
+        whole = (F.length("x") > PART + MARK) & (F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0)
+        return (d <= F.col("most")) | whole
 
     # bound inside the condition: as a column of its own it would be worked out anew wherever the pushed-down condition names it
-    sure = let(distance_by_parts(F.col("x"), F.col("y"), (F.col("most") * 1.5).cast("int")), near)
+    sure = let(distance_by_parts(F.col("x"), F.col("y"), F.col("most")), near)
     return both.where(sure).select("a", "b")
 
 

@@ -667,6 +667,19 @@ def test_long_lines_by_one_rule(spark, tmp_path):
     assert sorted(x["__removed"] for x in line_dedup.dedup(df).collect()) == [0, 0, 1, 1]
 
 
+def test_long_similar_lines_without_common_marks(spark, tmp_path):
+    """A tenth of the characters changed, evenly: no mark of 16 is left, yet the edit similarity is over 0.8."""
+    r = random.Random(3)
+    texts = []
+    for n in (50, 110, 300):
+        long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+        texts += [" ".join(f"{w} {d}" for w in long) for d in (1, 2)]
+        assert distance(*texts[-2:]) == n <= 0.1 * len(texts[-1])
+    df = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tmp_path)
+    got = {x["doc_id"]: x["__removed"] for x in line_dedup.dedup(df).collect()}
+    assert [got[k] + got[k + 1] for k in (0, 2, 4)] == [1] * 3
+
+
 def test_pairs_of_large_blocks(spark):
     """Two large groups that meet in blocks, dealt with by hubs and by the lines that are in no hub's group."""
     plane = line_dedup._plane()
