@@ -1,12 +1,15 @@
 """Main text of web pages: structure first, then nearest-URL page differencing.
 
 A page is cut into blocks of text. Blocks inside scripts, styles, forms, navigation, footers, asides and elements whose class
-or id says advert, cookie notice, comments and the like are left out. If the page marks its article (article, main), the
-text is the article's blocks: differencing them would delete passages that neighbouring articles share, which belong to both.
-Else its other blocks are candidates, and the page is differenced with its nearest pages: the different pages of a host are numbered by URL path (a range
-sort, so that a host of any size spreads over tasks; numbers go on from one range to the next), each is joined with the page before and the
+or id says advert, cookie notice, comments and the like are left out. If the page marks its article (article, main), its
+candidates are the article's blocks, else all others. Every page is differenced with its nearest pages, marked ones with marked ones: the different pages of a host are numbered
+by URL path (a range sort, so that a host of any size spreads over tasks; numbers go on from one range to the next), each is joined with the page before and the
 page after it, their blocks are aligned by longest common subsequence, and candidates in a common subsequence go.
 
+Within a marked article a common block may be a passage that neighbouring articles share, which belongs to both. There a block in a common subsequence
+goes only if it is the host's template: on more than half of its different marked pages, of which there are `EVIDENCE` or more. Where that would take more than half of an article's
+characters, the page is one of many near copies and keeps them all. Blocks are compared by 64-bit hashes.
+
 Pages of a host with equal blocks are one page there, at the smallest of their paths, and have the same text. NULL html gives an empty text; a NULL or odd URL
 is a host of its own; repeated rows are extracted one by one; pages of any length are read whole; an empty table gives no rows. Other columns, whatever their names, are ignored.
 How the table is split changes nothing.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -144,6 +147,8 @@ def _after_raw(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
+#: Different marked pages that a host must have before a block is called its template.
+EVIDENCE = 10
 #: Bits of the table of a longest common subsequence that are held at once.
 TABLE = 1 << 28
 
@@ -207,42 +212,50 @@ def _common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def differenced(blocks: list[str], near: Iterable[list[str]]) -> str:
-    gone: set[int] = set()
-    for other in near:
-        gone |= common(blocks, other)
-    return "\n\n".join([x for i, x in enumerate(blocks) if i not in gone])
+def _key(block: str) -> int:
+    return int.from_bytes(hashlib.blake2b(block.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of marked pages, the candidate blocks of the others."""
-    names = ["host", "path", "page_id", "url", "text", "blocks", "digest"]
+    """The candidate blocks of every page and whether it marks its article."""
+    names = ["host", "path", "page_id", "url", "marked", "blocks", "keys", "digest"]
     for b in batches:
-        texts, candidates, digests = [], [], []
-        for page in b.column(4):
-            blocks, marked = blocks_of(page.as_py())
-            texts.append("\n\n".join(blocks) if marked or not blocks else None)
-            candidates.append(None if texts[-1] is not None else blocks)
-            digests.append(None if texts[-1] is not None else hashlib.blake2b("\n\n".join(blocks).encode(), digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(texts, pa.string()), pa.array(candidates, pa.list_(pa.string())), pa.array(digests, pa.binary())], names)
+        pages = [blocks_of(page.as_py()) for page in b.column(4)]
+        digests = [hashlib.blake2b("\n\n".join(blocks).encode(), digest_size=16).digest() for blocks, _ in pages]
+        own = [pa.array([m for _, m in pages], pa.bool_()), pa.array([x for x, _ in pages], pa.list_(pa.string())), pa.array([[_key(x) for x in blocks] for blocks, _ in pages], pa.list_(pa.int64())), pa.array(digests, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *own], names)
 
 
 def _difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each page's blocks that are in a common subsequence with a neighbour."""
     for b in batches:
-        texts = [differenced(own, [x for x in near if x is not None]) for own, *near in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["host", "digest", "text"])
+        gone = [sorted(set().union(*(common(own, x) for x in near if x is not None))) for own, *near in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(gone, pa.list_(pa.int32()))], ["host", "marked", "digest", "keys", "gone"])
+
+
+def different(parsed: DataFrame) -> DataFrame:
+    """host, marked, digest, path, keys: a host's different pages."""
+    return parsed.where(F.size("keys") > 0).groupBy("host", "marked", "digest").agg(F.min("path").alias("path"), F.first("keys").alias("keys"))
 
 
 def numbered(pages: DataFrame) -> DataFrame:
-    """host, digest, blocks, n: the different pages, numbered in the order of host and path without gaps."""
-    one = pages.groupBy("host", "digest").agg(F.min("path").alias("path"), F.first("blocks").alias("blocks"))
+    """host, marked, digest, keys, n: the different pages, marked ones apart, numbered in the order of host and path without gaps."""
     # sorted once and stored: the numbers within a range are its rows' places
-    placed = one.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest")
-    placed = written(placed.select("host", "digest", "blocks", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "pages")
+    order = ["host", "marked", "path", "digest"]
+    placed = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.select("host", "marked", "digest", "keys", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "pages")
     # one row a range: a window over as many rows as there are tasks
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    return placed.join(F.broadcast(offsets), "part").select("host", "digest", "blocks", (F.col("offset") + F.col("place")).alias("n"))
+    return placed.join(F.broadcast(offsets), "part").select("host", "marked", "digest", "keys", (F.col("offset") + F.col("place")).alias("n"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template: the blocks on more than half of a host's different marked pages, fewer than twice those of a page on average."""
+    marked = pages.where("marked")
+    hosts = marked.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= EVIDENCE)
+    on = marked.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > EVIDENCE // 2)
+    return on.join(hosts, "host").where(F.col("n") * 2 > F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("template"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -252,13 +265,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     path = F.regexp_extract(address, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
     kind = pages.schema[key].dataType.simpleString()
-    parsed = written(rows.mapInArrow(_parse, f"host string, path string, page_id {kind}, url string, text string, blocks array<string>, digest binary"), "parsed")
-    rest = parsed.where("text is null")
-    near = numbered(rest)
-    side = lambda d, name: near.select((F.col("n") + d).alias("n"), F.col("host").alias(f"{name}_host"), F.col("blocks").alias(name))
+    parsed = written(rows.mapInArrow(_parse, f"host string, path string, page_id {kind}, url string, marked boolean, blocks array<string>, keys array<long>, digest binary"), "parsed")
+    near = numbered(different(parsed))
+    side = lambda d, name: near.select((F.col("n") + d).alias("n"), F.col("host").alias(f"{name}_host"), F.col("marked").alias(f"{name}_marked"), F.col("keys").alias(name))
     both = near.join(side(1, "before"), "n", "left").join(side(-1, "after"), "n", "left")
-    same = lambda name: F.when(F.col(f"{name}_host") == F.col("host"), F.col(name)).alias(name)
-    texts = both.select("host", "digest", "blocks", same("before"), same("after")).mapInArrow(_difference, "host string, digest binary, text string")
-    rest = rest.drop("text").join(texts, ["host", "digest"]).select("page_id", "url", "text")
-    out = parsed.where("text is not null").select("page_id", "url", "text").union(rest)
+    same = lambda name: F.when((F.col(f"{name}_host") == F.col("host")) & (F.col(f"{name}_marked") == F.col("marked")), F.col(name)).alias(name)
+    gone = both.select("host", "marked", "digest", "keys", same("before"), same("after")).mapInArrow(_difference, "host string, marked boolean, digest binary, keys array<long>, gone array<int>")
+    # stored, so that their sizes decide how they are joined: pages that lose nothing are not shuffled for the few that do
+    shared = gone.where(F.size("gone") > 0).join(written(templates(near), "templates"), "host", "left")
+    own = F.filter("gone", lambda i: ~F.col("marked") | F.coalesce(F.array_contains("template", F.get("keys", i)), F.lit(False)))
+    lost = written(shared.select("host", "marked", "digest", own.alias("gone")).where(F.size("gone") > 0), "lost")
+    stay = F.filter("blocks", lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.array_join("blocks", "\n\n")).otherwise(let(F.array_join(stay, "\n\n"), lambda x: F.when(F.col("marked") & (F.length(x) * 2 < F.length(F.array_join("blocks", "\n\n"))), F.array_join("blocks", "\n\n")).otherwise(x)))
+    out = parsed.select("host", "marked", "digest", "page_id", "url", "blocks").join(lost, ["host", "marked", "digest"], "left").select("page_id", "url", text.alias("text"))
     return out.withColumnRenamed("page_id", key).withColumnRenamed("url", url)

@@ -424,6 +424,19 @@ def test_pages_against_brute_force(spark, parts):
     assert Counter((x["page_id"], x["url"], x["text"]) for x in page_text.extract(df).collect()) == expected
 
 
+def test_marked_pages_are_differenced(spark):
+    """A template inside marked articles goes; a passage that neighbours share, near copies and hosts with few pages keep all."""
+    page = "<article><p>Read our daily letter</p><p>{}</p>{}<p>All rights kept by us</p></article>"
+    shared = [i // 2 for i in range(24)]
+    rows = [(i, f"https://a.com/{i:03}", page.format(f"article number {i} with a text of its own that is long enough", f"<p>passage {shared[i]} of two neighbours, a good deal of text too</p>")) for i in range(24)]
+    rows += [(100 + i, f"https://few.com/{i}", page.format(f"own {i}", "")) for i in range(4)]
+    rows += [(200 + i, f"https://copies.com/{i:03}", f"<main><p>{'one long text in all copies ' * 9}</p><p>but {i}</p></main>") for i in range(12)]
+    got = {x["page_id"]: x["text"] for x in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"article number {i} with a text of its own that is long enough\n\npassage {shared[i]} of two neighbours, a good deal of text too" for i in range(24))
+    assert all(got[100 + i] == f"Read our daily letter\n\nown {i}\n\nAll rights kept by us" for i in range(4))
+    assert all(got[200 + i].endswith(f"\n\nbut {i}") and got[200 + i].startswith("one long") for i in range(12)) and len(got) == 40
+
+
 # ---- 7
 
 
