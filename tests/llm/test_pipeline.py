@@ -94,3 +94,13 @@ def test_near_copies_go(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "t"))
     got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "t")), "").collect()}
     assert got == set(root) and len(got) < len(texts) // 2
+
+
+def test_line_stage_keeps_long_links(spark, tmp_path):
+    """Long similar lines without common marks: the stage decides by the whole distance and keeps one of two."""
+    r = random.Random(5)
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(200)]
+    rows = [(d, " ".join(f"{w} {d}" for w in long), "en", "web", 0) for d in (1, 2)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    assert sorted(len(x["text"]) for x in got) == [0, len(rows[0][1])]
