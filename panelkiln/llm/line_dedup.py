@@ -9,7 +9,7 @@
    that meet those are candidates that agree in 7 or more of the 16; similar lines hardly ever do in fewer.
    (SimHash, 64 bits: lines with a similarity of 0.8 are up to 14 bits apart, too many for selective blocks.)
 3. Each line is paired with the one line that is first in most of its blocks; then, if not in one group with it yet, with the first of each
-   block; then lines of a block that are not in one group yet with each other.
+   block; then, twice, with the next of each block in an order by hash; then lines of a block that are not in one group yet with each other.
 4. Pairs stand if the edit similarity of the normalised lines, 1 - distance / longer length, is at least 0.8. Texts are
    compared part by part first, which may find a larger distance, never a smaller one, and settles most similar pairs; where it finds too much,
    the whole distance decides, whatever the length.
@@ -39,6 +39,8 @@ _EDGE = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
 PART, MARK = 100, 16
 #: Of the 16 first words, those that a pair must have in common.
 AGREE = 7
+#: Rounds of `next_pairs` before the rest of a block is paired.
+TURNS = 2
 #: A place as one number: file (62 bits), then row in the file and position in the text in a long.
 _FILES = str(1 << 63)
 _POSITIONS = 1 << 31
@@ -146,6 +148,16 @@ def with_roots(active: DataFrame, roots: DataFrame) -> DataFrame:
     return both.withColumns({"root": F.coalesce("root", "id"), "top": F.coalesce("top", "hub")})
 
 
+def next_pairs(active: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Lines next to each other in a block, in an order by hash of its own for each turn, that are not in one group yet: no more pairs than rows.
+
+    A line that is near some of a large group, but not near its hub, may find one of it so, before `other_pairs` would pair it with all of it."""
+    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(turn), "x.id"), "x.id")
+    rows = active.select(F.struct("id", "size", "root", "s0", "s1").alias("x"), "block").select("x", F.lag("x").over(order).alias("y"))
+    near = (F.col("x.root") != F.col("y.root")) & _lengths_near("x.size", "y.size", similarity) & (_agreeing("x", "y") >= AGREE)
+    return rows.where(near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def other_pairs(active: DataFrame, similarity: float, alike: Column | None = None) -> DataFrame:
     """Pairs of lines of a block that are not in one group (`root`) yet. One of such a pair is not in the group of the block's hub
     (`top`), and few are in a large block: they are joined with all, not all with all. alike: what else a pair must have, on the structs x and y of both rows' columns."""
@@ -208,20 +220,24 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def agreeing(pairs: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs that agree in enough of the first words, and the places of their lines."""
+def agreeing(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """The pairs that agree in enough of the first words."""
     pairs = checkpoint(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = checkpoint(places.join(ids, "id", "left_semi"))
+    some = _of(pairs, places)
     side = lambda c, v: _few(some).select(F.col("id").alias(c), F.struct("s0", "s1").alias(v))
-    pairs = checkpoint(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_agreeing("x", "y") >= AGREE).select("a", "b"))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_agreeing("x", "y") >= AGREE).select("a", "b")
+
+
+def _of(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """The places of the pairs' lines."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return pairs, checkpoint(some.join(ids, "id", "left_semi").select("id", "f", "r", "pos"))
+    return checkpoint(places.join(ids, "id", "left_semi"))
 
 
 def verified(pairs: DataFrame, places: DataFrame, rows: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose lines have the similarity. Texts are read again from the rows; their places are sent there if they are few."""
-    pairs, some = agreeing(pairs, places)
+    pairs = checkpoint(pairs)
+    some = _of(pairs, places).select("id", "f", "r", "pos")
     lines = rows.select(F.col("__row.f").alias("f"), F.col("__row.r").alias("r"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
     texts = checkpoint(lines.join(_few(some), ["f", "r", "pos"]).select("id", normalised(F.col("line")).alias("norm")))
     one = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
@@ -250,14 +266,19 @@ def groups(lines: DataFrame, rows: DataFrame, text: str = "text", similarity: fl
     active = written(hub_rows(blocks_of(lines)), "active")
     hubs = checkpoint(hub_pairs(active, similarity))
     tidy(lines.sparkSession)
-    first = check(hubs.where("best").select("a", "b"))
+    first = check(agreeing(hubs.where("best").select("a", "b"), places))
     stars = checkpoint(components(first, "a", "b"))
-    second = check(still_apart(hubs.where("not best").select("a", "b"), stars))
-    # the sketches come along, so that the join itself tells which pairs agree in enough words
-    rooted = checkpoint(with_roots(active, merged(stars, second)).drop("hub", "hub_size").join(places.select("id", "s0", "s1"), "id"))
+    found = check(agreeing(still_apart(hubs.where("not best").select("a", "b"), stars), places))
+    roots = merged(stars, found)
+    # the sketches come along, so that windows and the join itself tell which pairs agree in enough words
+    sketched = checkpoint(active.join(places.select("id", "s0", "s1"), "id"))
+    for turn in range(TURNS):
+        more = check(next_pairs(with_roots(sketched, roots), similarity, turn))
+        roots, found = merged(roots, more), found.union(more)
+    rooted = checkpoint(with_roots(sketched, roots).drop("hub", "hub_size"))
     third = check(other_pairs(rooted, similarity, _agreeing("x", "y") >= AGREE))
     forget(active)
-    return components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(second).union(third), "a", "b")
+    return components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found).union(third), "a", "b")
 
 
 def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -705,6 +705,16 @@ def test_pairs_of_large_blocks(spark):
     assert pairs == {(a, b) for b in range(50) for a in range(b) if root(a) != root(b)}
 
 
+def test_next_pairs(spark):
+    """Each line with the next of its block only, and with none that agrees in too few words or is in its group."""
+    lanes = sum(63 << 7 * j for j in range(8))
+    rows = [(i, 10, 7, i % 2, 0, 0) for i in range(50)] + [(60 + i, 10, 8, 60, 0, 0) for i in range(9)] + [(80, 10, 9, 80, 0, 0), (81, 10, 9, 81, lanes, lanes)]
+    active = spark.createDataFrame(rows, "id long, size int, block long, root long, s0 long, s1 long")
+    for turn in range(line_dedup.TURNS):
+        pairs = {(x["a"], x["b"]) for x in line_dedup.next_pairs(active, 0.8, turn).collect()}
+        assert 0 < len(pairs) < 50 and all(a < b < 50 and (a + b) % 2 for a, b in pairs)
+
+
 def test_distance_by_parts(spark):
     """Never less than the distance, and small enough where a few words change; repeated passages too."""
     r = random.Random(9)
