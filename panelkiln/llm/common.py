@@ -138,9 +138,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = e
         e, now = stored(small)
         forget(before)
+        # a round's shuffles are small, but have files for each of its tasks
+        del both, least, large, first, small, before
+        tidy(edges.sparkSession)
         if now == seen:
             break
         seen = now
-    tidy(edges.sparkSession)
     roots = e.select(v.alias("node"), v.alias("root")).distinct()
     return e.select(u.alias("node"), v.alias("root")).union(roots)

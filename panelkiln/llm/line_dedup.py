@@ -9,7 +9,8 @@
    that meet those are candidates that agree in 7 or more of the 16; similar lines hardly ever do in fewer.
    (SimHash, 64 bits: lines with a similarity of 0.8 are up to 14 bits apart, too many for selective blocks.)
 3. Each line is paired with the one line that is first in most of its blocks; then, if not in one group with it yet, with the first of each
-   block; then, twice, with the next of each block in an order by hash; then lines of a block that are not in one group yet with each other.
+   block; then, twice, with the next of each block in an order by hash; then lines of a block that are not in one group yet with each other,
+   each pair in the first of the blocks that both are in.
 4. Pairs stand if the edit similarity of the normalised lines, 1 - distance / longer length, is at least 0.8. Texts are
    compared part by part first, which may find a larger distance, never a smaller one, and settles most similar pairs; where it finds too much,
    the whole distance decides, whatever the length.
@@ -101,9 +102,12 @@ def hub_rows(posted: DataFrame) -> DataFrame:
     return rows.where(F.col("id") != F.col("hub"))
 
 
+def _blocks() -> Column:
+    return F.array(*[F.xxhash64(F.lit(n), *[F.col(f"m{k}") for k in ks]) for n, ks in enumerate(PLANE)])
+
+
 def blocks_of(lines: DataFrame) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"m{k}") for k in ks]) for n, ks in enumerate(PLANE)])
-    return lines.select("id", "size", keys.alias("blocks"))
+    return lines.select("id", "size", _blocks().alias("blocks"))
 
 
 def _lengths_near(size: str, size2: str, similarity: float) -> Column:
@@ -158,16 +162,29 @@ def next_pairs(active: DataFrame, similarity: float, turn: int) -> DataFrame:
     return rows.where(near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def with_earlier(active: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of blocks that have a line outside their hub's group (no others have pairs left), with `earlier`: those of the line's blocks that come before the row's own in the plane."""
+    left = active.join(active.where(F.col("root") != F.col("top")).select("block").distinct(), "block", "left_semi")
+    both = left.join(lines.select("id", *[f"m{k}" for k in range(len(ORDERS))]), "id")
+    earlier = let(_blocks(), lambda keys: F.slice(keys, F.lit(1), F.array_position(keys, F.col("block")).cast("int") - 1))
+    return both.select(*left.columns, earlier.alias("earlier"))
+
+
 def other_pairs(active: DataFrame, similarity: float, alike: Column | None = None) -> DataFrame:
     """Pairs of lines of a block that are not in one group (`root`) yet. One of such a pair is not in the group of the block's hub
-    (`top`), and few are in a large block: they are joined with all, not all with all. alike: what else a pair must have, on the structs x and y of both rows' columns."""
+    (`top`), and few are in a large block: they are joined with all, not all with all. alike: what else a pair must have, on the structs x and y of both rows' columns.
+
+    With `earlier`, a pair comes from the first block that both lines are in, and from no other. Nothing is lost by that: where that block has no
+    row of one of them, this one is its hub, and `hub_pairs` had the pair; where both rows are there, they are joined, as they have different roots."""
     x, y = F.struct(*[F.col(c) for c in active.columns]).alias("x"), F.struct(*[F.col(c) for c in active.columns]).alias("y")
     one, two = active.where(F.col("root") != F.col("top")).select("block", x), active.select("block", y)
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
     near = once & (F.col("x.root") != F.col("y.root")) & _lengths_near("x.size", "y.size", similarity)
     on = (one["block"] == two["block"]) & near
-    pairs = one.join(two, on if alike is None else on & alike)
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    on = on if alike is None else on & alike
+    if "earlier" in active.columns:
+        return one.join(two, on & ~F.arrays_overlap("x.earlier", "y.earlier")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return one.join(two, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def distance_by_parts(x: Column, y: Column, most: Column) -> Column:
@@ -272,12 +289,17 @@ def groups(lines: DataFrame, rows: DataFrame, text: str = "text", similarity: fl
     roots = merged(stars, found)
     # the sketches come along, so that windows and the join itself tell which pairs agree in enough words
     sketched = checkpoint(active.join(places.select("id", "s0", "s1"), "id"))
+    forget(active)
     for turn in range(TURNS):
         more = check(next_pairs(with_roots(sketched, roots), similarity, turn))
         roots, found = merged(roots, more), found.union(more)
+        tidy(lines.sparkSession)
     rooted = checkpoint(with_roots(sketched, roots).drop("hub", "hub_size"))
+    rooted = checkpoint(with_earlier(rooted, lines))
     third = check(other_pairs(rooted, similarity, _agreeing("x", "y") >= AGREE))
-    forget(active)
+    # what only the rounds needed goes before the search for components
+    del active, hubs, sketched, rooted, roots, more
+    tidy(lines.sparkSession)
     return components(stars.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found).union(third), "a", "b")
 
 

@@ -705,6 +705,19 @@ def test_pairs_of_large_blocks(spark):
     assert pairs == {(a, b) for b in range(50) for a in range(b) if root(a) != root(b)}
 
 
+def test_pairs_of_several_blocks_come_once(spark):
+    """Lines that share many blocks, as around a common passage: the join makes each pair once; with the hubs' pairs none that shares a block is left out."""
+    r = random.Random(21)
+    rows = [(i, 10, *[r.choice([0, 0, 0, 100 + i]) for _ in range(16)]) for i in range(80)]
+    lines = spark.createDataFrame(rows, "id long, size int, " + ", ".join(f"m{k} int" for k in range(16)))
+    rooted = line_dedup.with_roots(line_dedup.hub_rows(line_dedup.blocks_of(lines)), spark.createDataFrame([(7, 3)], "node long, root long"))
+    got = [(x["a"], x["b"]) for x in line_dedup.other_pairs(line_dedup.with_earlier(rooted.drop("hub", "hub_size"), lines), 0.8).collect()]
+    shared = {(a, b): n for b in range(80) for a in range(b) if (n := sum(all(rows[a][2 + k] == rows[b][2 + k] for k in ks) for ks in line_dedup._plane()))}
+    hubs = {(x["a"], x["b"]) for x in line_dedup.hub_pairs(line_dedup.hub_rows(line_dedup.blocks_of(lines)), 0.8).collect()}
+    assert sum(n > 1 for n in shared.values()) > 100 and len(got) == len(set(got)) > 100
+    assert set(got) | hubs | {(3, 7)} == set(shared) | {(3, 7)} and (3, 7) not in got
+
+
 def test_next_pairs(spark):
     """Each line with the next of its block only, and with none that agrees in too few words or is in its group."""
     lanes = sum(63 << 7 * j for j in range(8))
